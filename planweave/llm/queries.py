@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm import components, copies, encode, lookalikes, packing, pieces
+from planweave.llm import components, copies, encode, lookalikes, moderation, packing, pieces
 from planweave.session import table
 
 
@@ -57,8 +57,20 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(sizes)
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.rates(p8_scores(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.found(p8_scores(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_groups, p1_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers)
+    f.__name__: f for f in (p1_groups, p1_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers, p8_scores, p8_rates, p8_found)
 }
 
 _GROUPS = """
