@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm import components, copies, encode, lookalikes, moderation, packing, pieces
+from planweave.llm import components, copies, encode, lookalikes, moderation, names, packing, pieces
 from planweave.session import table
 
 
@@ -20,6 +20,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.where("id <> group_id").select("group_id", F.col("id").alias("canon_id"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.groups(table(spark, sf_dir, "entities"), table(spark, sf_dir, "canonical_entities"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(table(spark, sf_dir, "entities"), table(spark, sf_dir, "canonical_entities"))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(pieces.items(table(spark, sf_dir, "sections"), table(spark, sf_dir, "chunk_texts")))
 
@@ -70,7 +78,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_groups, p1_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers, p8_scores, p8_rates, p8_found)
+    f.__name__: f for f in (p1_groups, p1_found, p2_groups, p2_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers, p8_scores, p8_rates, p8_found)
 }
 
 _GROUPS = """
