@@ -160,7 +160,7 @@ class Name:
             text = b + a
         text = re.sub(r"^..省(?=.{5})", "", text)
         read = syllables(text)
-        for k in range(3, len(read) - 4):
+        for k in range(2, len(read) - 4):
             if read[k : k + 4] == COMMITTEE:
                 text = text[: k + 2] + text[k + 4 :]
                 break
