@@ -39,9 +39,9 @@ def load(path: str):
 
 
 def words(documents: DataFrame) -> DataFrame:
-    """``(doc_id, pos, word)`` of every pre-token of every document."""
+    """``(doc_id, text_key, pos, word)`` of every pre-token of every text; the key tells texts apart that share an id or have none."""
     some = documents.where(F.length("text") > 0)
-    return some.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "word"))
+    return some.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "word"))
 
 
 def encode_words(distinct: DataFrame, path: str) -> DataFrame:
@@ -61,7 +61,8 @@ def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") ->
     """``(doc_id, ids)`` for every document: empty and null texts have the empty list.
 
     A string that looks like a special token is ordinary text, since words are cut before the vocabulary is
-    consulted. Documents delivered twice under one id with one text come out once; ids that are null too.
+    consulted. Rows that repeat an id and its text come out once; different texts under one id, or under none,
+    come out one by one.
     """
     texts = documents.select("doc_id", "text").distinct()
     positions = words(texts)
@@ -69,7 +70,7 @@ def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") ->
     vocabulary = cut(encode_words(counts, path))
     total, most = vocabulary.agg(F.sum("n"), F.max("n")).first()
     placed = lookup(positions, vocabulary, "word", "n", total or 0, most or 0)
-    parts = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))).alias("parts"))
+    parts = placed.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))).alias("parts"))
     ids = parts.select("doc_id", F.flatten(F.col("parts.word_ids")).alias("ids"))
     without = texts.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return ids.unionByName(without).select("doc_id", "ids")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweave.llm.lookalikes import appearance, image
+from planweave.session import spread
 
 #: The most labelled documents that training takes; beyond it a hash sample of that size is taken.
 MAX_LABELS = 30_000
@@ -236,7 +237,7 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 start = end
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": score, "category": category})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, score double, category string")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, score double, category string")
 
 
 def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
