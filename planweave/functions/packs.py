@@ -101,6 +101,18 @@ _RELATIONS = [
 #: (predicate, subject type, object type, pattern with the subject as group 1 and the object as group 2)
 RELATION_PATTERNS = [(p, TYPE_MAP.get(st, st), TYPE_MAP.get(ot, ot), f"({H}(?:{family})){verb}{f'({H}(?:{of}))' if of else _TAIL}{after}") for p, family, verb, after, of, st, ot in _RELATIONS]
 
+
+
+def anchored(pattern: str) -> str:
+    """The same pattern for Java, tried only where it can match.
+
+    A pattern that begins with a run of Han signs matches from the first sign of the run if it matches from any,
+    so after a failure there the rest of the run need not be tried: the effort is in proportion to the text and not
+    to the square of its runs. What follows a match is tried too, at the place where it ended.
+    """
+    return rf"(?:(?<![一-龥])|\G){pattern}" if pattern.startswith((H, "(" + H)) else pattern
+
+
 ACTION_MARKERS = "应当 必须 不得 禁止 应及时 应立即 需要 要求 负责 建立 启动 报告 发布 处置 组织 统筹 协调 完善 落实".split()
 CONDITION = "(当|若|如果|如遇|如发生|发生|出现|遇到|在.+?时|在.+?期间)"
 TIME_LIMIT = f"({D}+[{S}]*(分钟|小时|天|日|月)[{S}]*(内|以内|之内)?|立即|及时|尽快|第一时间)"

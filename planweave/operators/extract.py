@@ -9,6 +9,7 @@ from planweave.config import DEFAULT
 from planweave.functions import packs
 from planweave.functions.text import canonical_type, ustrip, window
 from planweave.operators.chunking import first_wins
+from planweave.session import spread
 
 SPAN = "struct<start_pos:int,end_pos:int,ord:int,confidence:double,name:string,entity_type:string>"
 
@@ -42,7 +43,7 @@ def entity_matches(text: Column, patterns: list[tuple[str, str]] | None = None,
     parts = []
     for k, (kind, pattern) in enumerate(patterns or packs.ENTITY_PATTERNS):
         label = packs.TYPE_MAP.get(kind, kind)
-        spans = offsets(text, F.regexp_extract_all(text, F.lit(pattern), 0))
+        spans = offsets(text, F.regexp_extract_all(text, F.lit(packs.anchored(pattern)), 0))
         parts.append(F.transform(spans, _as_span(k, label, confidence)))
     return F.when(F.length(text) > 0, F.flatten(F.array(*parts))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -72,7 +73,7 @@ def entity_spans(documents: DataFrame, key: str = "doc_id", text: str = "text")
     Null and empty texts have none. Matching, offsets and merge all happen in the row of the text, without a shuffle.
     """
     t = F.col(text)
-    merged = documents.select(key, text, F.posexplode(merge_overlaps(entity_matches(t))).alias("ord", "s"))
+    merged = spread(documents.select(key, text)).select(key, text, F.posexplode(merge_overlaps(entity_matches(t))).alias("ord", "s"))
     return merged.select(key, "s.name", "s.entity_type", "s.start_pos", "s.end_pos", "s.confidence", window(t, F.col("s.start_pos"), F.col("s.end_pos")).alias("source_text"), "ord")
 
 
@@ -109,9 +110,9 @@ def pattern_relations(documents: DataFrame, key: str = "doc_id", text: str = "te
     t = F.col(text)
     parts = []
     for k, (predicate, subject_type, object_type, pattern) in enumerate(packs.RELATION_PATTERNS):
-        all_ = [F.regexp_extract_all(t, F.lit(pattern), g) for g in (0, 1, 2)]
+        all_ = [F.regexp_extract_all(t, F.lit(packs.anchored(pattern)), g) for g in (0, 1, 2)]
         parts.append(F.transform(offsets(t, all_[0]), _as_triple(k, predicate, subject_type, object_type, all_[1], all_[2])))
-    rows = documents.where(F.length(text) > 0).select(key, text, F.explode(F.flatten(F.array(*parts))).alias("r")).where("r.subject <> '' and r.object <> ''")
+    rows = spread(documents.select(key, text)).where(F.length(text) > 0).select(key, text, F.explode(F.flatten(F.array(*parts))).alias("r")).where("r.subject <> '' and r.object <> ''")
     flat = rows.select(key, "r.ord", "r.subject", "r.predicate", "r.object", "r.subject_type", "r.object_type", F.lit(float(confidence)).alias("confidence"), window(t, F.col("r.s"), F.col("r.e")).alias("source_text"))
     return first_wins(flat, [key, "subject", "predicate", "object"], [F.col("ord")]).drop("ord")
 

@@ -11,7 +11,7 @@ from planweave.functions import packs, payload, text, vectors
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve, search
 from planweave.sources import readers
 from planweave.sources.providers import Offline, entailment
-from planweave.session import table
+from planweave.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -201,7 +201,7 @@ _MATCHES = " UNION ALL ".join(f"SELECT '{packs.TYPE_MAP.get(k, k)}' AS entity_ty
 
 @query(f"SELECT entity_type, name, count(*) AS n FROM ({_MATCHES}) GROUP BY ALL")
 def entity_matches(spark, d):
-    docs = table(spark, d, "documents").select(F.explode(extract.entity_matches(F.col("text"))).alias("s"))
+    docs = spread(table(spark, d, "documents").select("text")).select(F.explode(extract.entity_matches(F.col("text"))).alias("s"))
     return docs.groupBy("s.entity_type", "s.name").agg(F.count(F.lit(1)).alias("n"))
 
 
