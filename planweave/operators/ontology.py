@@ -65,3 +65,19 @@ def anchor(sources: DataFrame, plans: DataFrame, name: str = "source_name", n_pl
     short_grams = grams.select("source_name", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(gram - 1)), lambda k: F.substring("g", F.lit(1), k))).alias("k", "plan")).distinct()
     met = grams.join(long, "g").where(F.col("source_name").contains(F.col("plan"))).select("source_name", "plan")
     return met.unionByName(short_grams.join(starts, "plan").select("source_name", "plan")).distinct()
+
+
+def anchor_edges(nodes: DataFrame, plans: DataFrame, n_plans: int | None = None) -> DataFrame:
+    """Edges from every entity node to each plan whose name its source contains; sources are matched once each."""
+    some = nodes.where(~F.col("label").isin(packs.PLAN_LABEL, packs.TYPE_LABEL) & F.col("source_name").isNotNull())
+    found = anchor(some, plans, n_plans=n_plans)
+    return some.join(found, "source_name").select(
+        F.col("label").alias("src_label"), F.col("name").alias("src_name"), F.col("source_name").alias("src_source"), F.lit(packs.OF_SOURCE).alias("type"), F.lit(packs.PLAN_LABEL).alias("dst_label"), F.col("plan").alias("dst_name"), F.lit("").alias("dst_source")
+    )
+
+
+def plan_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy as nodes and edges of the property graph."""
+    nodes = plan_nodes(spark).select(F.lit(packs.PLAN_LABEL).alias("label"), "name", F.lit("").alias("source_name"), F.col("level").alias("description"))
+    side = lambda end, c: [F.lit(packs.PLAN_LABEL).alias(f"{end}_label"), F.col(c).alias(f"{end}_name"), F.lit("").alias(f"{end}_source")]
+    return nodes, plan_edges(spark).select(*side("src", "child"), F.lit(packs.SUB_PLAN).alias("type"), *side("dst", "parent"))

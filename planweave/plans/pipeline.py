@@ -106,10 +106,10 @@ def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = Non
     with_links = edges.unionByName(graph.type_links(nodes), allowMissingColumns=True).unionByName(graph.meta_edges(groups), allowMissingColumns=True)
     repaired, before, after = graph.repair(every_node, cut(with_links))
     kept_nodes, kept_edges = graph.prune(every_node, cut(repaired))
-    anchors = ontology.anchor(groups, ontology.plan_nodes(spark), n_plans=len(packs.PLANS)).select(
-        F.lit(packs.SOURCE_LABEL).alias("src_label"), F.col("source_name").alias("src_name"), F.col("source_name").alias("src_source"), F.lit(packs.OF_SOURCE).alias("type"), F.lit(packs.PLAN_LABEL).alias("dst_label"), F.col("plan").alias("dst_name"), F.lit("").alias("dst_source")
-    )
-    final_edges = cut(kept_edges.unionByName(anchors, allowMissingColumns=True))
+    plan_nodes, plan_edges = ontology.plan_graph(spark)
+    anchors = ontology.anchor_edges(kept_nodes, ontology.plan_nodes(spark), n_plans=len(packs.PLANS))
+    kept_nodes = cut(kept_nodes.unionByName(plan_nodes, allowMissingColumns=True))
+    final_edges = cut(kept_edges.unionByName(anchors, allowMissingColumns=True).unionByName(plan_edges, allowMissingColumns=True))
     traces = trace(asked, type(provider).__name__)
     report = report_text(run_counters(entities, relations.withColumn("relation_id", F.xxhash64("subject", "predicate", "object"))), kept_nodes, final_edges, after, time.time() - began)
     return Built(groups, entities, all_relations, kept_nodes, final_edges, before, after, traces, report)
