@@ -29,7 +29,7 @@ NUMERALS = "一二三四五六七八九十百零〇两0123456789ⅠⅡⅢⅣ甲
 TITLES = "副主任 主任 副局长 局长 副站长 站长 副科长 科长 副书记 书记 大队长 中队长 支队长 分队长 副队长 队长 副所长 所长 副处长 处长 镇长 县长 市长 区长 乡长 村长 总指挥 副指挥 指挥长 指挥 教授 老师 组长 部长 主席 委员 秘书长 秘书 院长 校长 主管 师傅 同志 先生 女士 医生 大夫 护士 护士长 总工程师 工程师 经理 总经理 厂长 班长 连长 政委 参谋 专家".split()
 COMPOUND = "欧阳 上官 司马 诸葛 皇甫 司徒 尉迟 公孙 慕容 令狐 夏侯 东方 端木 百里 南宫 独孤 宇文 长孙 轩辕 钟离 澹台 申屠".split()
 #: Other names of a kind of body that leave out more than signs.
-UNIT_NAMES = {"委员会": "局", "卫健委": "卫健局", "卫计委": "卫健局"}
+UNIT_NAMES = {"委员会": "局", "卫健委": "卫健局", "卫计委": "卫健局", "抢修队": "抢修公司"}
 #: Fixed value: the readings after which a health body's name may insert the sign for committee.
 COMMITTEE = ("wei", "jian", "wei", "yuan")
 #: Ranks of teams.
@@ -237,7 +237,7 @@ class Name:
                 self.place = " ".join(out)
                 out = []
                 continue
-            if w not in ("and", "the", "of", "for"):
+            if w not in ("and", "the", "of", "for") and sorted(w) != ["a", "d", "n"]:
                 out.append(w)
         if self.level:
             self.unit = tuple(out)
@@ -257,7 +257,11 @@ class Name:
             c = self.codes
             if len(c) < 3:
                 return ["ho=" + "".join(c)]
-            return list(dict.fromkeys(["ho^" + "".join(sorted(c[:3])), "ho$" + "".join(sorted(c[-4:])), "ho:" + c[0] + c[-1], "ho;" + c[0] + "".join(c[3:4])] if len(c) > 4 else ["ho:" + c[0] + c[-1], "ho=" + "".join(sorted(c))]))
+            own = ["ho:" + c[0] + c[-1], "ho^" + " ".join(sorted(c[:3])), "ho$" + " ".join(sorted(c[-4:]))]
+            for k in range(1, min(6, len(c))):
+                if self.han[k] in LEVELS:
+                    own += ["hl" + c[0] + self.han[k], "hm" + c[k - 1] + self.han[k]]
+            return list(dict.fromkeys(own))
         if self.kind == "lo":
             if self.partial == "acronym":
                 return ["la" + self.tokens[0]]
@@ -328,7 +332,8 @@ def _last_readings(words: tuple[str, ...]) -> list[str]:
 def _persons(a: Name, b: Name) -> str:
     if a.partial or b.partial:
         if a.partial and b.partial:
-            return ""
+            same = {a.partial, b.partial} == {"surname", "initial"} and a.kind == b.kind and a.surname == b.surname
+            return ("weak" if a.partial == "surname" else "weak<") if same else ""
         short, full = (a, b) if a.partial else (b, a)
         if short.partial == "last":
             if full.kind == "hp":
@@ -396,18 +401,22 @@ def _short_unit(rest: tuple[str, ...], unit: tuple[str, ...], slips: int) -> boo
         return False
     if _subsequence(rest, unit):
         return True
-    if not slips:
+    if not slips or len(rest) < 3:
         return False
-    return edits(rest, unit, 1) <= 1 or len(rest) > 2 and any(_subsequence(rest[:k] + rest[k + 1 :], unit) for k in range(len(rest)))
+    swapped = any(_subsequence(rest[:k] + (rest[k + 1], rest[k]) + rest[k + 2 :], unit) for k in range(len(rest) - 1))
+    doubled = any(rest[k] == rest[k + 1] and _subsequence(rest[:k] + rest[k + 1 :], unit) for k in range(len(rest) - 1))
+    if swapped or doubled or len(rest) < 4:
+        return swapped or doubled
+    return edits(rest, unit, 1) <= 1 or any(_subsequence(rest[:k] + rest[k + 1 :], unit) for k in range(len(rest)))
 
 
-def _short_for(short: Name, full: Name) -> bool:
+def _short_for(short: Name, full: Name, slips_allowed: int) -> bool:
     """Whether a Han body may be ``full`` with its place or its unit shortened: the place without its level or as first sign and level, the unit with signs left out."""
     if len(short.codes) < 4 or len(short.codes) > len(full.codes) and (short.level or not full.level):
         return False
     if not full.level:
-        return len(full.codes) >= 8 and short.codes[:3] == full.codes[:3] and short.han[3] not in LEVELS and _short_unit(short.codes[3:], full.codes[3:], 1)
-    if not short.level and len(short.codes) >= 8 and short.codes[:3] == full.codes[:3] and _short_unit(full.unit, short.codes[3:], 1):
+        return len(full.codes) >= 8 and short.codes[:3] == full.codes[:3] and short.han[3] not in LEVELS and _short_unit(short.codes[3:], full.codes[3:], slips_allowed)
+    if not short.level and len(short.codes) >= 8 and short.codes[:3] == full.codes[:3] and _short_unit(full.unit, short.codes[3:], slips_allowed):
         return True
     if len(full.unit) < 3:
         return False
@@ -416,7 +425,7 @@ def _short_for(short: Name, full: Name) -> bool:
         whole = head is not place and len(head) > len(place)
         for n in (len(head), len(head) - 1, len(head) + 1) if len(head) > 2 else (len(head),):
             slips = edits(short.codes[:n], head, 1)
-            if slips > (len(head) > 2) or n > len(short.codes) - 2:
+            if slips > min(slips_allowed, len(head) > 2) or n > len(short.codes) - 2:
                 continue
             if head == place:
                 if short.han[n] in LEVELS and short.codes[n] != full.unit[0] or n > len(head) and short.han[n - 1] in LEVELS:
@@ -425,7 +434,7 @@ def _short_for(short: Name, full: Name) -> bool:
                 continue
             if whole and slips and short.codes[n - 1] != level[0]:
                 continue
-            if _short_unit(short.codes[n:], full.unit, 1 - slips):
+            if _short_unit(short.codes[n:], full.unit, slips_allowed - slips):
                 return True
     return False
 
@@ -438,9 +447,12 @@ def _bodies(a: Name, b: Name) -> str:
             return ""
         if _one_slip(a, b):
             return "strong"
-        if _short_for(a, b):
-            return "weak"
-        return "weak<" if _short_for(b, a) else ""
+        for slips, verdict in ((0, "weak"), (1, "faint")):
+            if _short_for(a, b, slips):
+                return verdict
+            if _short_for(b, a, slips):
+                return verdict + "<"
+        return ""
     if a.numbers != b.numbers:
         return ""
     if "acronym" in (a.partial, b.partial):
@@ -469,10 +481,10 @@ def _bodies(a: Name, b: Name) -> str:
 
 
 def compare(a: Name, b: Name) -> str:
-    """``strong``: the same; ``weak``: ``a`` may be short for ``b``, ``weak<``: the other way; '' for others."""
+    """``strong``: the same; ``weak``: ``a`` may be short for ``b``, ``faint``: so with a slip beside, ``weak<``, ``faint<``: the other way; '' for others."""
     if a.kind[1] == "p":
         verdict = _persons(a, b)
-        return "weak<" if verdict == "weak" and b.partial else verdict
+        return "weak<" if verdict == "weak" and b.partial and not a.partial else verdict
     return _bodies(a, b)
 
 
@@ -546,17 +558,20 @@ def clusters(entities: DataFrame, canonical: DataFrame) -> tuple[DataFrame, Data
     strong = cut(judged.where("verdict = 'strong'").select("a", "b").unionByName(by_alias))
     firm = connected_groups(strong, "a", "b")
     group_of = forms.select(F.col("node").alias("id"), F.length("form").alias("n")).join(firm, "id", "left").select("id", F.coalesce("group_id", "id").alias("g"), "n")
-    weak = judged.where("verdict <> 'strong'").select(F.when(F.col("verdict") == "weak", F.col("a")).otherwise(F.col("b")).alias("short"), F.when(F.col("verdict") == "weak", F.col("b")).otherwise(F.col("a")).alias("full"))
+    turned = F.col("verdict").endswith("<")
+    weak = judged.where("verdict <> 'strong'").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("short"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("full"), F.col("verdict").startswith("faint").cast("int").alias("faint"))
     lifted = weak.join(group_of.select(F.col("id").alias("short"), F.col("g").alias("short_g")), "short").join(group_of.select(F.col("id").alias("full"), F.col("g").alias("full_g")), "full")
-    between = cut(lifted.where("short_g <> full_g").select("short_g", "full_g").distinct())
+    between = cut(lifted.where("short_g <> full_g").groupBy("short_g", "full_g").agg(F.min("faint").alias("faint")))
     # two groups may each hold a short form of the other; then the one with the longer name is the full one
     length = group_of.groupBy("g").agg(F.max("n").alias("n"))
-    both_ways = between.join(between.select(F.col("full_g").alias("short_g"), F.col("short_g").alias("full_g")), ["short_g", "full_g"])
+    both_ways = between.drop("faint").join(between.select(F.col("full_g").alias("short_g"), F.col("short_g").alias("full_g")), ["short_g", "full_g"])
     ordered = both_ways.join(length.select(F.col("g").alias("short_g"), F.col("n").alias("short_n")), "short_g").join(length.select(F.col("g").alias("full_g"), F.col("n").alias("full_n")), "full_g")
     wrong = ordered.where(F.struct("short_n", "short_g") > F.struct("full_n", "full_g")).select("short_g", "full_g")
     between = cut(between.join(wrong, ["short_g", "full_g"], "left_anti"))
     shorts = between.select(F.col("short_g").alias("full_g")).distinct()
-    decided = between.join(shorts, "full_g", "left_anti").groupBy("short_g").agg(F.min("full_g").alias("full_g"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    # the full bodies and persons that a short form fits without a slip go before those it fits with one
+    fits = between.join(shorts, "full_g", "left_anti").groupBy("short_g").agg(F.min(F.struct("faint", "full_g")).alias("best"), F.count_if(F.col("faint") == 0).alias("sure"), F.count(F.lit(1)).alias("n"))
+    decided = fits.where("sure = 1 or sure = 0 and n = 1").select("short_g", F.col("best.full_g").alias("full_g"))
     groups = connected_groups(strong.unionByName(decided.select(F.col("short_g").alias("a"), F.col("full_g").alias("b"))), "a", "b")
     return rows, groups
 
