@@ -29,19 +29,22 @@ MAX_LABELS = 30_000
 BUCKETS, DIM, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 SEGMENT = 64
+#: Characters that are turned into n-grams at once, a bound on memory.
+SLICE = 100_000
 THRESHOLD = 0.5
 #: How much the segments of a flagged document count of which none stands out.
 DOUBT = 0.3
 
 _CUT = re.compile(r"[\n\r。！？!?；;]+|(?<=[a-zA-Z\])])\.+(?:\s+|$)|…+|\.{3,}")
 _DROP = re.compile(r"[^\w *]|_")
+_LATIN, _OTHER = re.compile("[a-z][a-z0-9* ]+"), re.compile("[^a-z0-9* ]{4,}")
 _STARS = re.compile(r"\*{2,}")
 _GAP = re.compile(r"(?<![a-z0-9]) +| +(?![a-z0-9])")
 _DIGITS = re.compile(r"(?<![a-z\d])\d+(?![a-z\d])")
 
 
 def segments(text: str) -> list[str]:
-    """Lower-case sentences of letters, of at most SEGMENT characters where a clause or word end allows; runs of digits become 0."""
+    """Lower-case sentences of letters, of at most SEGMENT characters where a clause or word end allows; runs of digits become 0. A sentence in two scripts is followed by its parts in each."""
     out = []
     for line in _CUT.split(text):
         parts = [line] if len(line) <= SEGMENT else re.split(r"(?<=[，,、：:])", line)
@@ -55,11 +58,28 @@ def segments(text: str) -> list[str]:
                 bare = bare[at:]
             if bare:
                 out.append(bare)
+                if _LATIN.search(bare) and _OTHER.search(bare):
+                    # texts run together: what is said in one script is looked at by itself too
+                    out += [x for x in (*_LATIN.findall(bare), *_OTHER.findall(bare)) if x.strip()]
     return out
 
 
 def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of every segment, and the number of n-grams of each; all vectorized over one array of code points."""
+    """Bucket of every n-gram of every segment, and the number of n-grams of each, computed over slices of bounded length."""
+    done = [_grams(part) for part in _slices(parts)]
+    return np.concatenate([b for b, _ in done]), np.concatenate([n for _, n in done])
+
+
+def _slices(parts: list[str]) -> Iterator[list[str]]:
+    start, chars = 0, 0
+    for k, part in enumerate(parts, 1):
+        chars += len(part)
+        if chars >= SLICE or k == len(parts):
+            yield parts[start:k]
+            start, chars = k, 0
+
+
+def _grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\x02" + "\x02".join(parts) + "\x02"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     edge = codes == 2
@@ -81,7 +101,7 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             where.append(which[at])
             x = h[at]
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            what.append(((x ^ (x >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64))
+            what.append(((x ^ (x >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int32))
     segment, bucket = np.concatenate(where), np.concatenate(what)
     order = np.argsort(segment, kind="stable")
     return bucket[order], np.bincount(segment, minlength=len(parts))
@@ -136,13 +156,14 @@ class Model:
 
 def score_parts(parts: list[str], table: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Probabilities of the classes for each segment."""
-    if not parts:
-        return np.zeros((0, len(CLASSES)), np.float32)
-    bucket, sizes = grams(parts)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    z = np.add.reduceat(table[bucket], first, axis=0) / sizes[:, None] + bias
-    p = np.exp(z - z.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    out = [np.zeros((0, len(CLASSES)), np.float32)]
+    for some in _slices(parts):
+        bucket, sizes = _grams(some)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        z = np.add.reduceat(table[bucket], first, axis=0) / sizes[:, None] + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        out.append(p / p.sum(1, keepdims=True))
+    return np.concatenate(out)
 
 
 def _fit(flagged: list[tuple[list[str], int]], chosen: list[list[tuple[str, float]]], clean: Counter, epochs: int) -> tuple[np.ndarray, np.ndarray]:
