@@ -252,40 +252,50 @@ class Name:
         self.tokens = tuple(sorted([*([self.place] if self.place else []), *self.unit]))
 
     def keys(self) -> list[str]:
-        """Block keys: phonetic codes of sorted tokens and of parts of them, so that one slip leaves some key untouched."""
-        if self.kind == "ho":
-            c = self.codes
-            if len(c) < 3:
-                return ["ho=" + "".join(c)]
-            own = ["ho:" + c[0] + c[-1], "ho^" + " ".join(sorted(c[:3])), "ho$" + " ".join(sorted(c[-4:]))]
-            for k in range(1, min(6, len(c))):
-                if self.han[k] in LEVELS:
-                    own += ["hl" + c[0] + self.han[k], "hm" + c[k - 1] + self.han[k]]
-            return list(dict.fromkeys(own))
-        if self.kind == "lo":
-            if self.partial == "acronym":
-                return ["la" + self.tokens[0]]
-            own = ["lo" + " ".join(sorted(soundex(w) for w in self.tokens))]
-            if self.place and self.unit:
-                own += ["lp" + soundex(self.place.split()[0]) + self.unit[0][0], "lu" + self.place[:1] + " ".join(w[0] for w in self.unit)]
-                if self.level:
-                    own.append("la" + "".join(w[0] for w in (*self.place.split(), self.level, *self.unit)))
-            return own
+        """Block keys: phonetic codes of sorted tokens and of parts of them, so that one slip leaves some key untouched.
+
+        A key under ``s`` brings together all that have it; under ``p`` a form that may be short meets the full
+        forms that have the key under ``f``, and short forms do not meet one another.
+        """
+        return list(dict.fromkeys({"ho": self._han_body_keys, "lo": self._latin_body_keys, "hp": self._person_keys, "lp": self._person_keys}[self.kind]()))
+
+    def _han_body_keys(self) -> list[str]:
+        c = self.codes
+        own = ["s^" + " ".join(sorted(c[:3])), "s$" + " ".join(sorted(c[-4:]))]
+        ends = [c[0] + " " + c[-1]]
+        for k in range(1, min(6, len(c))):
+            if self.han[k] in LEVELS:
+                ends += [c[0] + self.han[k], c[k - 1] + "/" + self.han[k]]
+        ends.append(" ".join(sorted(c[:3])))
+        full = bool(self.level) and len(self.unit) >= 3 or len(c) >= 8
+        return own + [side + "b" + x for x in ends for side in ("p", "f") if side == "p" or full]
+
+    def _latin_body_keys(self) -> list[str]:
+        if self.partial == "acronym":
+            return ["pa" + self.tokens[0]]
+        own = ["so" + " ".join(sorted(soundex(w) for w in self.tokens))]
+        if self.place and self.unit:
+            own += ["sp" + soundex(self.place.split()[0]) + self.unit[0][0], "su" + self.place[:1] + " ".join(w[0] for w in self.unit)]
+            if self.level:
+                own.append("fa" + "".join(w[0] for w in (*self.place.split(), self.level, *self.unit)))
+        return own
+
+    def _person_keys(self) -> list[str]:
         if self.partial == "last":
             return ["pg" + self.given]
+        sounds = [self.surname] + [soundex(self.surname)] * (self.kind == "lp")
         if self.partial:
-            return ["ps" + (self.surname if self.kind == "hp" else soundex(self.surname)), "px" + self.surname]
+            return ["pn" + x for x in sounds] + ["fn" + x for x in sounds] * (self.partial == "initial")
         if self.kind == "hp":
-            own = ["pp" + " ".join(self.tokens), "ps" + self.surname, "px" + self.surname, "pn" + " ".join(sorted((self.surname, self.given)))]
-            return own + (["pg" + self.codes[-1]] if len(self.codes) > 1 else [])
-        if len(self.tokens) == 2:
-            own = ["pn" + " ".join(self.tokens)]
-            for w in self.tokens:
-                own += ["ps" + soundex(w), "px" + w]
-                own += ["ps" + soundex(x) for x in NICKNAMES.get(w, "").split()]
-            own += ["pg" + r for r in _last_readings(self.tokens)]
-            return list(dict.fromkeys(own))
-        return ["lp" + " ".join(self.tokens)]
+            return ["sp" + " ".join(self.tokens), "sn" + " ".join(sorted((self.surname, self.given))), "fn" + self.surname] + ["fg" + self.codes[-1]] * (len(self.codes) > 1)
+        if len(self.tokens) != 2:
+            return ["sl" + " ".join(self.tokens)]
+        own = ["sn" + " ".join(self.tokens)] + ["fg" + r for r in _last_readings(self.tokens)]
+        for w, x in (self.tokens, self.tokens[::-1]):
+            own += ["fn" + w, "fn" + soundex(w)]
+            for known in (w, *NICKNAMES.get(w, "").split()):
+                own += ["sx" + soundex(known) + x[0], "sx" + soundex(known) + "~" + x[-1]]
+        return own
 
 
 def _same_given(a: str, b: str) -> bool:
@@ -537,10 +547,12 @@ def links(forms: DataFrame, table) -> DataFrame:
             yield out[out["verdict"] != ""]
 
     blocked = forms.mapInPandas(block, "document_id string, entity_type string, form string, node long, keys array<string>")
-    keyed = cut(blocked.select("document_id", "entity_type", "form", "node", F.explode("keys").alias("key")))
-    left = keyed.select("document_id", "entity_type", "key", F.col("form").alias("form_a"), F.col("node").alias("a"))
-    right = keyed.select("document_id", "entity_type", "key", F.col("form").alias("form_b"), F.col("node").alias("b"))
-    pairs = left.join(right, ["document_id", "entity_type", "key"]).where("form_a < form_b").select("entity_type", "form_a", "form_b", "a", "b").distinct()
+    by_key = blocked.select("document_id", "entity_type", "form", "node", F.explode("keys").alias("k"))
+    keyed = cut(by_key.select("document_id", "entity_type", "form", "node", F.substring("k", 1, 1).alias("side"), F.expr("substring(k, 2)").alias("key")))
+    left = keyed.where("side <> 'f'").select("document_id", "entity_type", "key", F.col("side").alias("side_a"), F.col("form").alias("form_a"), F.col("node").alias("a"))
+    right = keyed.where("side <> 'p'").select("document_id", "entity_type", "key", F.col("side").alias("side_b"), F.col("form").alias("form_b"), F.col("node").alias("b"))
+    met = left.join(right, ["document_id", "entity_type", "key"]).where("side_a = 's' and side_b = 's' and form_a < form_b or side_a = 'p' and side_b = 'f' and form_a <> form_b")
+    pairs = met.select("entity_type", F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"), F.when(F.col("form_a") < F.col("form_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("form_a") < F.col("form_b"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
     return pairs.mapInPandas(judge, "a long, b long, verdict string")
 
 
