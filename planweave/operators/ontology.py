@@ -40,9 +40,9 @@ def depths(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def specificity(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``(name, depth, specificity)``, the specificity being the depth over the largest; null where there is no way to a root."""
-    known = depths(nodes, edges, roots)
-    most = known.agg(F.max("depth").alias("most"))
-    return known.crossJoin(F.broadcast(most)).select("name", "depth", F.round(F.try_divide("depth", "most"), 6).alias("specificity"))  # one row by construction
+    known = cut(depths(nodes, edges, roots))
+    most = known.agg(F.max("depth")).first()[0]
+    return known.select("name", "depth", F.round(F.try_divide(F.col("depth"), F.lit(most)), 6).alias("specificity"))
 
 
 def anchor(sources: DataFrame, plans: DataFrame, name: str = "source_name", n_plans: int | None = None) -> DataFrame:

@@ -18,8 +18,7 @@ def top_k(rows: DataFrame, vector: str, query: list[float], key: str, k: int) ->
 def tiered(rules: DataFrame, chunks: DataFrame, vector: str, query: list[float], key: str, k: int, threshold: float = DEFAULT.search_threshold) -> DataFrame:
     """The best rules, or the best chunks if there is no rule at all; ``tier`` says rule (the best is at least ``threshold``), weak_rule or chunk."""
     best = top_k(rules, vector, query, key, k)
-    sure = best.agg(F.max("similarity").alias("best")).withColumn("tier", F.when(F.col("best") >= threshold, "rule").otherwise("weak_rule"))
-    from_rules = best.crossJoin(F.broadcast(sure.select("tier")))  # one row by construction
-    none = sure.where("best is null").select(F.lit("chunk").alias("tier"))
-    from_chunks = top_k(chunks, vector, query, key, k).crossJoin(F.broadcast(none))
-    return from_rules.unionByName(from_chunks, allowMissingColumns=True)
+    most = best.agg(F.max("similarity")).first()[0]
+    if most is None:
+        return top_k(chunks, vector, query, key, k).withColumn("tier", F.lit("chunk"))
+    return best.withColumn("tier", F.lit("rule" if most >= threshold else "weak_rule"))

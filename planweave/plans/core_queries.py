@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.functions import packs, payload, text, vectors
+from planweave.functions import packs, payload, prompts, text, vectors
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve, search
 from planweave.sources import readers
-from planweave.sources.providers import Offline, entailment
-from planweave.session import spread, table
+from planweave.sources.providers import Offline, ask, entailment
+from planweave.session import cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,6 +136,7 @@ def _flagged(spark: SparkSession, d: str) -> DataFrame:
 def _faulty(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes, and edges with type edges of which some are missing and some are wrong in each of the three ways."""
     nodes, edges = _graph(spark, d)
+    nodes = cut(nodes)
     links = graph.type_links(nodes).where(F.length("src_name") % 3 != 0)
     n = F.length("src_name")
     loops = links.where(n % 5 == 0).withColumns({"dst_label": F.col("src_label"), "dst_name": F.col("src_name"), "dst_source": F.col("src_source")})
@@ -144,7 +145,7 @@ def _faulty(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     out = links
     for part in (loops, from_type, other, edges.select(*graph.EDGE_KEY)):
         out = out.unionByName(part)
-    return nodes, out
+    return nodes, cut(out)
 
 
 # loading, groups, chunks -----------------------------------------------------------------------------------
@@ -658,6 +659,27 @@ def entity_lookup(spark, d):
     return graph.lookup_entity(nodes, _hub(spark, d, edges)).select("label", "name", "source_name")
 
 
+@query(f"WITH {_GRAPH}, {_ENDS} SELECT label, name, source_name, count(*) AS degree FROM ends GROUP BY ALL")
+def node_degrees(spark, d):
+    return graph.degrees(_graph(spark, d)[1])
+
+
+@query("SELECT DISTINCT source_name FROM entities WHERE source_name IS NOT NULL ORDER BY source_name")
+def source_list(spark, d):
+    return table(spark, d, "entities").select("source_name").where("source_name is not null").distinct().orderBy("source_name")
+
+
+@query(f"SELECT predicate, predicate IN ({_in(packs.BRIDGE_PREDICATES)}) AS in_schema, count(*) AS n FROM relations WHERE predicate IS NOT NULL GROUP BY ALL")
+def predicate_membership(spark, d):
+    rows = table(spark, d, "relations").where("predicate is not null")
+    return rows.groupBy("predicate", F.col("predicate").isin(packs.BRIDGE_PREDICATES).alias("in_schema")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_NEAR} SELECT a AS key, count(DISTINCT b) AS degree FROM linked GROUP BY a")
+def neighbour_degrees(spark, d):
+    return _near(spark, d).groupBy(F.col("a").alias("key")).agg(F.count_distinct("b").alias("degree"))
+
+
 # ontology --------------------------------------------------------------------------------------------------
 
 _PLAN_VALUES = ", ".join(f"('{n}', '{level}')" for n, level in packs.PLANS)
@@ -728,3 +750,40 @@ def type_distributions(spark, d):
     e, r = extract.dedupe_entities(table(spark, d, "entities")), extract.dedupe_relations(table(spark, d, "relations"))
     count = F.count(F.lit(1)).alias("n")
     return e.groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("name")).agg(count).unionByName(r.groupBy(F.lit("relation").alias("kind"), F.col("predicate").alias("name")).agg(count))
+
+
+# prompts ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH h AS (SELECT document_id, string_agg(DISTINCT name, '、' ORDER BY name) AS names FROM entities WHERE name IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL)
+SELECT document_id, md5('{prompts.EXTRACTION}' || chr(10) || '已知实体：' || names || chr(10) || '文本：' || chr(10) || document_id) AS prompt_md5 FROM h"""
+)
+def extraction_prompts(spark, d):
+    rows = table(spark, d, "entities").where("name is not null and document_id is not null").groupBy("document_id").agg(F.array_sort(F.collect_set("name")).alias("hints"))
+    return rows.select("document_id", F.md5(prompts.extraction(F.col("document_id"), F.col("hints"))).alias("prompt_md5"))
+
+
+@query(
+    f"""WITH e AS (SELECT document_id, string_agg(DISTINCT name, '、' ORDER BY name) AS names FROM entities WHERE name IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT document_id, string_agg(DISTINCT subject || predicate || object, '；' ORDER BY subject || predicate || object) AS triples FROM relations WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL GROUP BY ALL),
+i AS (SELECT DISTINCT document_id, name FROM entities e WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.document_id = e.document_id AND (r.subject = e.name OR r.object = e.name) AND e.name <> '')),
+l AS (SELECT document_id, string_agg(name, '、' ORDER BY name) AS lonely FROM i GROUP BY ALL)
+SELECT document_id, md5('{prompts.CONSOLIDATION}' || chr(10) || '实体：' || names || chr(10) || '关系：' || coalesce(triples, '') || chr(10) || '孤立实体：' || coalesce(lonely, '')) AS prompt_md5 FROM e LEFT JOIN r USING (document_id) LEFT JOIN l USING (document_id)"""
+)
+def consolidation_prompts(spark, d):
+    e, r = table(spark, d, "entities"), table(spark, d, "relations")
+    listed = prompts.consolidation_inputs(e, r, resolve.isolated(e, r))
+    return listed.select("document_id", F.md5(prompts.consolidation(F.col("entities"), F.col("relations"), F.col("lonely"))).alias("prompt_md5"))
+
+
+@query(f"SELECT chunk_id, md5('{prompts.RULES}' || chr(10) || '文本：' || chr(10) || chunk_text) AS prompt_md5 FROM chunk_texts")
+def rule_prompts(spark, d):
+    return table(spark, d, "chunk_texts").select("chunk_id", F.md5(prompts.rules(F.col("chunk_text"))).alias("prompt_md5"))
+
+
+@query("SELECT chunk_id, CASE WHEN length(trim(chunk_text)) > 0 THEN 'ok' ELSE 'empty' END AS status FROM chunk_texts")
+def provider_calls(spark, d):
+    """Every chunk put to the offline provider, which answers with the length of the text; the status of each call."""
+    rows = table(spark, d, "chunk_texts").select("chunk_id", F.trim(F.coalesce("chunk_text", F.lit(""))).alias("prompt"))
+    return ask(rows, Offline(answer=lambda p: str(len(p)) if p else "")).select("chunk_id", "status")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.config import DEFAULT, EngineConfig
-from planweave.functions import packs, payload
+from planweave.functions import packs, payload, prompts
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve
 from planweave.session import cut
 from planweave.sources.providers import Offline, Provider, ask, entailment, trace
@@ -26,23 +26,9 @@ def run_counters(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return both.agg(n.alias("documents"), ok.alias("succeeded"), (n - ok).alias("failed"), F.round(F.try_divide(ok, n), 6).alias("success_rate"), F.coalesce(F.sum("entities"), F.lit(0)).alias("entities"), F.coalesce(F.sum("relations"), F.lit(0)).alias("relations"))
 
 
-def extraction_prompt(text: Column, hints: Column) -> Column:
-    head = "从下面的应急管理文本中抽取实体和关系，只输出一个JSON对象，含entities（name,type,confidence）和relations（subject,predicate,object,confidence）。类型限于：" + "、".join(packs.LABELS) + "。"
-    return F.concat(F.lit(head), F.lit("\n已知实体："), F.array_join(hints, "、"), F.lit("\n文本：\n"), text)
-
-
-def consolidation_prompt(entities: Column, relations: Column, lonely: Column) -> Column:
-    head = "合并下列实体的别名并补充桥接关系，只输出一个JSON对象，含alias_map、canonical_entities和bridge_relations。谓词优先取自：" + "、".join(packs.BRIDGE_PREDICATES) + "。"
-    return F.concat(F.lit(head), F.lit("\n实体："), F.array_join(entities, "、"), F.lit("\n关系："), F.array_join(relations, "；"), F.lit("\n孤立实体："), F.array_join(lonely, "、"))
-
-
-def rule_prompt(text: Column) -> Column:
-    return F.concat(F.lit("从下面的文本中提取规则，输出JSON数组，每条含rule_name、rule_text、elements、rule_tags。\n文本：\n"), text)
-
-
 def extract_rules(chunks: DataFrame, provider: Provider) -> DataFrame:
     """Rules a model finds in ``(document, chunk_index, chunk_text)``: parsed, shaped, admissible only, numbered per document, first of each text."""
-    asked = cut(ask(chunks.where(F.length(F.trim("chunk_text")) > 0).withColumn("prompt", rule_prompt(F.col("chunk_text"))), provider))
+    asked = cut(ask(chunks.where(F.length(F.trim("chunk_text")) > 0).withColumn("prompt", prompts.rules(F.col("chunk_text"))), provider))
     rows = asked.select("document", "chunk_index", F.posexplode(F.from_json("answer", "array<struct<rule_name:string,rule_text:string,elements:array<string>,rule_tags:array<string>>>")).alias("k", "r"))
     from planweave.functions.text import admissible, semantic_elements
 
@@ -51,6 +37,38 @@ def extract_rules(chunks: DataFrame, provider: Provider) -> DataFrame:
     return chunking.first_wins(kept, ["document", "rule_text"], [F.col("chunk_index"), F.col("k")])
 
 
+@dataclass
+class Consolidated:
+    alias_pairs: DataFrame
+    canonical: DataFrame
+    bridges: DataFrame
+
+
+def consolidate(entities: DataFrame, relations: DataFrame, provider: Provider) -> Consolidated:
+    """What a model says of the names and triples of each document: aliases, canonical records and bridges.
+
+    One call a document, written once. A failing or senseless answer leaves its document as it is.
+    """
+    listed = prompts.consolidation_inputs(entities, relations, resolve.isolated(entities, relations))
+    asked = cut(ask(listed.select("document_id", prompts.consolidation(F.col("entities"), F.col("relations"), F.col("lonely")).alias("prompt")), provider))
+    answers = cut(asked.select("document_id", payload.parsed("answer").alias("p")))
+    pairs = answers.select("document_id", F.explode("p.alias_map").alias("alias", "canonical")).where("canonical is not null and alias <> canonical")
+    value = lambda m, k: F.try_element_at(m, F.lit(k))
+    records = answers.select("document_id", F.posexplode("p.canonical_entities").alias("k", "c")).select(
+        "document_id", F.col("k").cast("long").alias("canon_id"), value("c", "name").alias("name"), value("c", "type").alias("entity_type"), F.from_json(value("c", "aliases"), "array<string>").alias("aliases"), value("c", "description").alias("description")
+    )
+    found = answers.select("document_id", F.posexplode("p.bridge_relations").alias("k", "r")).select(
+        "document_id",
+        *[value("r", c).alias(c) for c in ("subject", "predicate", "object", "subject_type", "object_type")],
+        F.coalesce(F.expr("try_cast(try_element_at(r, 'confidence') as double)"), F.lit(0.7)).alias("confidence"),
+        F.coalesce(F.nullif(value("r", "s_evidence"), F.lit("")), value("r", "source_text")).alias("source_text"),
+        F.lit(0).alias("chan"),
+        F.col("k").cast("long").alias("relation_id"),
+        F.lit(-1).alias("chunk_index"),
+    )
+    return Consolidated(pairs, records, found)
+
+
 @dataclass
 class Built:
     groups: DataFrame
@@ -74,8 +92,8 @@ def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = Non
     provider = provider or Offline(config.embedding_dim)
     groups = cut(chunking.group_rules(shape_rules(rules), config.group_size).select(F.col("group_id").alias("document_id"), "source_name", "members", "group_text"))
     spans = extract.entity_spans(groups, "document_id", "group_text")
-    prompts = groups.select("document_id", "source_name", extraction_prompt(F.col("group_text"), F.array().cast("array<string>")).alias("prompt"), "group_text")
-    asked = cut(ask(prompts, provider))
+    wanted = groups.select("document_id", "source_name", prompts.extraction(F.col("group_text"), F.array().cast("array<string>")).alias("prompt"), "group_text")
+    asked = cut(ask(wanted, provider))
     answers = asked.select("document_id", "group_text", payload.parsed("answer").alias("p"))
     found = answers.select("document_id", "group_text", F.posexplode("p.entities").alias("k", "e")).where("length(e['name']) > 0")
     at = F.position(F.element_at("e", "name"), "group_text") - 1
@@ -96,10 +114,17 @@ def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = Non
     embedded = alias.embed(entities.select("document_id", "entity_type", "name", "entity_id").withColumn("block", F.concat_ws("\u0001", "document_id", "entity_type")).withColumn("key", F.xxhash64("block", "name")), "name", provider, config.embedding_batch)
     pairs = cut(alias.alias_map(cut(embedded), "block", "key", "name", "embedding", config.alias_similarity, config.neighbours)).select(F.substring_index("block", "\u0001", 1).alias("document_id"), "alias", "canonical")
     pairs = pairs.groupBy("document_id", "alias").agg(F.max("canonical").alias("canonical"))
-    resolved = resolve.apply_aliases(entities, pairs).join(sources, "document_id")
+    consolidated = consolidate(entities, relations, provider)
+    pairs = resolve.merge_maps(consolidated.alias_pairs, pairs).where("alias <> canonical")
+    resolved = resolve.apply_aliases(entities, pairs).join(sources, "document_id").withColumns({"entity_id": F.lit(0).cast("long"), "confidence": F.lit(None).cast("double")})
+    resolved = resolve.merge_canonical(resolved, consolidated.canonical.join(sources, "document_id"))
     remapped = resolve.remap_relations(relations, pairs)
-    bridged = resolve.bridges(remapped, entailment(provider), confidence=config.bridge_confidence, entailment=config.entailment).select(*remapped.columns, F.lit(True).alias("is_bridge"))
-    all_relations = remapped.join(bridged.select("document_id", "subject", "predicate", "object", "is_bridge"), ["document_id", "subject", "predicate", "object"], "left")
+    judge = entailment(provider)
+    proposed = consolidated.bridges.join(sources, "document_id").select(*remapped.columns)
+    candidates = remapped.withColumn("rank", F.lit(0)).unionByName(proposed.withColumn("rank", F.lit(1)))
+    bridged = resolve.bridges(candidates, judge, confidence=config.bridge_confidence, entailment=config.entailment).select("document_id", "subject", "predicate", "object", F.lit(True).alias("is_bridge")).distinct()
+    kept = candidates.join(bridged, ["document_id", "subject", "predicate", "object"], "left").where("rank = 0 or is_bridge")
+    all_relations = chunking.first_wins(kept, ["document_id", "subject", "predicate", "object"], [F.col("rank"), F.col("relation_id")]).drop("rank")
     nodes, edges = graph.graph_of(resolved.withColumns({"entity_id": F.lit(0).cast("long"), "chunk_index": F.lit(0)}), all_relations)
     meta = graph.meta_nodes(groups)
     every_node = cut(nodes.unionByName(meta, allowMissingColumns=True))

@@ -337,11 +337,13 @@ def test_pipeline_end_to_end(spark):
     from planweave.plans import pipeline
 
     rules = spark.createDataFrame([(f"r{i}", "规则", f"应急指挥部负责防汛抢险。第{i}次应当在3小时内报告。", ["Action"], ["预警"], "国家防汛抗旱应急预案", "国家防汛抗旱应急预案", i) for i in range(14)], readers.RULE + ", source_name string, ord long")
-    built = pipeline.build(spark, rules, providers.Offline(16, lambda p: '{"entities": [{"name": "防汛抢险", "type": "行动", "confidence": 0.9}, {"name": "应急指挥部", "type": "组织机构", "confidence": 0.9}], "relations": []}'))
+    entities = '{"entities": [{"name": "防汛抢险", "type": "行动", "confidence": 0.9}, {"name": "应急指挥部", "type": "组织机构", "confidence": 0.9}], "relations": []}'
+    merged = '{"alias_map": {"防汛抢险": "防汛抢险行动"}, "canonical_entities": [{"name": "水库", "type": "地点", "aliases": ["大坝"]}], "bridge_relations": [{"subject": "应急指挥部", "predicate": "管辖", "object": "水库", "confidence": 0.9, "s_evidence": "管辖水库"}, {"subject": "水库", "predicate": "听说", "object": "应急指挥部", "confidence": 0.9, "s_evidence": "无"}]}'
+    built = pipeline.build(spark, rules, providers.Offline(16, lambda p: merged if "孤立实体" in p else entities))
     names = {r.name for r in built.nodes.where("label <> '实体类型'").collect()}
     kinds = {r.type: r["count"] for r in built.edges.groupBy("type").count().collect()}
-    assert built.groups.count() == 2 and {"应急指挥部", "防汛抢险", "国家防汛抗旱应急预案"} <= names
-    assert kinds == {"负责": 1, "属于类型": 2, "包含类型": 8, "BELONGS_TO_SOURCE": 3, "SUB_PLAN_OF": 15}
+    assert built.groups.count() == 2 and {"应急指挥部", "防汛抢险行动", "水库", "国家防汛抗旱应急预案"} <= names
+    assert kinds == {"负责": 1, "管辖": 1, "属于类型": 3, "包含类型": 8, "BELONGS_TO_SOURCE": 4, "SUB_PLAN_OF": 15}
     assert "documents: 2" in built.report and built.traces.count() == 2
     assert sum(r.missing for r in built.after.collect()) == 0
 
