@@ -173,6 +173,46 @@ def parse(text: str | None) -> dict:
     return out
 
 
+def parse_rules(text: str | None) -> list[dict]:
+    """The rule records of an answer: a list, or the list under rules, data or output, fenced or not; records without a text are left out."""
+    for part in [*_FENCE.findall(text or ""), text or ""]:
+        at = 0
+        while (opens := [k for k in (part.find("{", at), part.find("[", at)) if k >= 0]):
+            reader = _Reader(part)
+            reader.i = min(opens)
+            v = reader.value()
+            if isinstance(v, dict):
+                v = next((v[k] for k in ("rules", "data", "output") if isinstance(v.get(k), list)), [v] if "rule_text" in v else None)
+            if isinstance(v, list) and (rows := [x for x in v if isinstance(x, dict) and str(x.get("rule_text") or "").strip()]):
+                return rows
+            at = min(opens) + 1
+    return []
+
+
+RULES = T.ArrayType(T.StructType([T.StructField("rule_name", T.StringType()), T.StructField("rule_text", T.StringType()), T.StructField("elements", T.ArrayType(T.StringType())), T.StructField("rule_tags", T.ArrayType(T.StringType()))]))
+_ELEMENT_FIELDS = ("Subject", "Action", "Condition", "Object", "Time", "S", "A", "C", "O", "T", "主体", "动作", "条件", "对象", "范围", "时限", "时间")
+
+
+def _texts(v: Any) -> list[str]:
+    """Strings of a list, or the keys of an object that have a value."""
+    if isinstance(v, dict):
+        return [str(k) for k, x in v.items() if x not in (None, "", [], {})]
+    return [str(x) for x in v if x is not None] if isinstance(v, list) else []
+
+
+@F.pandas_udf(RULES)
+def parsed_rules(answers: pd.Series) -> pd.Series:
+    """Column of answers to column of rule records; elements are those listed and the element fields that have a value."""
+    out = []
+    for answer in answers:
+        rows = []
+        for r in parse_rules(answer):
+            fields = [k for k in _ELEMENT_FIELDS if str(r.get(k) or "").strip() not in ("", "[]", "{}")]
+            rows.append({"rule_name": None if r.get("rule_name") is None else str(r["rule_name"]), "rule_text": str(r["rule_text"]), "elements": fields + _texts(r.get("elements") or r.get("Elements")), "rule_tags": _texts(r.get("rule_tags"))})
+        out.append(rows)
+    return pd.Series(out)
+
+
 def _flat(row: dict) -> dict[str, str | None]:
     return {str(k): None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True) for k, v in row.items()}
 

@@ -125,3 +125,9 @@ def embed(rows: DataFrame, text: str, provider, batch: int = DEFAULT.embedding_b
             yield pdf.assign(embedding=[[float(x) for x in v] for v in out])
 
     return some.mapInPandas(run, fields + ", embedding array<double>").withColumn("norm_l2", norm(F.col("embedding")))
+
+
+def embedding_records(rows: DataFrame, key: str, text: str, provider, model: str, source: list[str], batch: int = DEFAULT.embedding_batch) -> DataFrame:
+    """``(id, text, embedding, model, dim, norm_l2, source)`` ready to be written as parquet or JSON lines; ``source`` names the columns of the nested struct."""
+    done = embed(rows.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*source).alias("source")), "text", provider, batch)
+    return done.select("id", "text", "embedding", F.lit(model).alias("model"), F.size("embedding").alias("dim"), "norm_l2", "source")

@@ -95,7 +95,7 @@ def resolve_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def type_links(nodes: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def type_links(nodes: DataFrame) -> DataFrame:
     """Edges from every node with one of the eight labels to the type node of its source."""
     some = nodes.where(F.col("label").isin(packs.LABELS))
     return some.select(
@@ -200,6 +200,34 @@ def link_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _labels(nodes.sparkSession).join(counted, "label", "left").na.fill(0)
 
 
+def summary(nodes: DataFrame, edges: DataFrame, k: int = 20) -> dict[str, list[dict]]:
+    """All statistics as lists of rows by name. Sources are the only open set in them; each list is cut at 10,000 rows for the driver.
+
+    A section that fails is reported under its name and does not stop the others.
+    """
+    for flag in (*FLAGS, "chunk_index", "source_name"):
+        if flag not in edges.columns:
+            edges = edges.withColumn(flag, F.lit(None).cast("int" if flag == "chunk_index" else "string" if flag == "source_name" else "boolean"))
+    sections = {
+        "totals": lambda: totals(nodes, edges),
+        "statistics": lambda: statistics(nodes, edges),
+        "nodes_by_source": lambda: nodes_by_source(nodes),
+        "edges_by_source": lambda: edges_by_source(edges),
+        "flags": lambda: flag_counts(edges),
+        "bridges": lambda: bridge_breakdown(edges),
+        "completeness": lambda: completeness(nodes),
+        "type_links": lambda: link_statistics(nodes, edges),
+        "top_degree": lambda: top_degree(nodes, edges, k),
+    }
+    out = {}
+    for name, make in sections.items():
+        try:
+            out[name] = [r.asDict() for r in make().limit(10_000).collect()]
+        except Exception as e:  # noqa: BLE001
+            out[name] = [{"error": f"{type(e).__name__}: {e}"[:300]}]
+    return out
+
+
 # repair ----------------------------------------------------------------------------------------------------
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from planweave.config import DEFAULT, EngineConfig
 from planweave.functions import packs, payload, prompts
+from planweave.functions.text import admissible, semantic_elements
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve
 from planweave.session import cut
 from planweave.sources.providers import Offline, Provider, ask, entailment, trace
-from planweave.sources.readers import shape_rules
+from planweave.sources.readers import read_docx, shape_rules
 
 
 def run_counters(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -27,14 +28,27 @@ def run_counters(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def extract_rules(chunks: DataFrame, provider: Provider) -> DataFrame:
-    """Rules a model finds in ``(document, chunk_index, chunk_text)``: parsed, shaped, admissible only, numbered per document, first of each text."""
+    """``(document, rule_id, RULE columns, source_name)``: rules a model finds in ``(document, chunk_index, chunk_text)``.
+
+    Admissible ones only, numbered per document in order before copies are dropped, the first of each text kept.
+    """
     asked = cut(ask(chunks.where(F.length(F.trim("chunk_text")) > 0).withColumn("prompt", prompts.rules(F.col("chunk_text"))), provider))
-    rows = asked.select("document", "chunk_index", F.posexplode(F.from_json("answer", "array<struct<rule_name:string,rule_text:string,elements:array<string>,rule_tags:array<string>>>")).alias("k", "r"))
-    from planweave.functions.text import admissible, semantic_elements
+    rows = asked.select("document", "chunk_index", F.posexplode(payload.parsed_rules("answer")).alias("k", "r"))
+    flat = rows.select("document", "chunk_index", "k", "r.rule_name", "r.rule_text", semantic_elements(F.col("r.rule_text"), F.col("r.elements")).alias("elements"), "r.rule_tags", F.col("document").alias("source_name"), F.col("document").alias("rule_source"))
+    kept = shape_rules(flat.where(admissible(F.col("elements")))).withColumn("place", F.col("chunk_index").cast("long") * 1_000_000 + F.col("k"))
+    numbered = chunking.rank_within(kept, "document", "place").withColumn("rule_id", F.col("rn").cast("string"))
+    return chunking.first_wins(numbered.drop("rn", "k"), ["document", "rule_text"], [F.col("place")]).drop("chunk_index", "place")
 
-    flat = rows.select("document", "chunk_index", "k", "r.rule_name", "r.rule_text", semantic_elements(F.col("r.rule_text"), F.col("r.elements")).alias("elements"), "r.rule_tags", F.col("document").alias("source_name"))
-    kept = shape_rules(flat.where(admissible(F.col("elements"))))
-    return chunking.first_wins(kept, ["document", "rule_text"], [F.col("chunk_index"), F.col("k")])
+
+def rules_from_documents(spark: SparkSession, folder: str, out: str, provider: Provider | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """From .docx files to rules: sections, chunks, rules, and both embedded; tables ``chunks``, ``rules`` under ``out``. Gives the rules."""
+    provider = provider or Offline(config.embedding_dim)
+    chunks = cut(chunking.paragraph_chunks(read_docx(spark, folder).where("error is null"), config.paragraph_tokens))
+    rules = cut(extract_rules(chunks, provider))
+    model = type(provider).__name__
+    alias.embedding_records(chunks.withColumn("id", F.concat_ws("#", "document", "chunk_index")), "id", "chunk_text", provider, model, ["document", "chunk_index"], config.embedding_batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/chunks")
+    alias.embedding_records(rules.withColumn("id", F.concat_ws("#", "document", "rule_id")), "id", "rule_text", provider, model, ["document", "rule_name"], config.embedding_batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/rules")
+    return rules
 
 
 @dataclass

@@ -375,3 +375,44 @@ def test_skewed_lookup_equals_join(spark):
     plain = sorted(map(tuple, rows.join(values.drop("n"), "k").collect()))
     split = sorted(map(tuple, lookup(rows, values, "k", "n", 600, 500, share=0.1, least=10).collect()))
     assert plain == split
+
+
+def test_documents_to_rules(spark, tmp_path):
+    from planweave.plans import pipeline
+
+    (tmp_path / "plan.docx").write_bytes(docx(["应急部门应当在3小时内报告。", "演练。"], [["表", "一"]]))
+    answer = '好的：```json\n{"rules": [{"rule_text": "部门应当报告", "elements": ["主体"], "动作": "报告"}, {"rule_text": "部门应当报告 "}, {"rule_text": "无"}, {"rule_name": "x"},]}\n```'
+    rules = pipeline.rules_from_documents(spark, str(tmp_path), str(tmp_path / "out"), providers.Offline(8, lambda p: answer))
+    got = rules.collect()
+    assert [(r.rule_text, r.rule_id, r.rule_name, r.rule_source) for r in got] == [("部门应当报告", "1", packs.DEFAULT_RULE_NAME, "plan")]
+    assert {"Action", "Subject"} <= set(got[0].elements)
+    records = spark.read.parquet(str(tmp_path / "out" / "rules")).collect()
+    assert records[0].dim == 8 and records[0].source.document == "plan" and round(records[0].norm_l2, 6) == 1.0
+
+
+@pytest.mark.parametrize("answer,n", [('[{"rule_text": "a"}, {"rule_text": " "}]', 1), ('{"output": [{"rule_text": "a"}]}', 1), ("x", 0), (None, 0), ('{"rule_text": "a"}', 1), ('[{"rule_text": "a"}, {"rule_text": "b', 1)])
+def test_rule_answers(answer, n):
+    assert len(payload.parse_rules(answer)) == n
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from planweave import __main__ as cli
+
+    sinks.save_json([{"rule_id": "1", "rule_text": "应急指挥部负责组织抢险。", "rule_source": "国家防汛抗旱应急预案"}], str(tmp_path / "r.json"))
+    folder = str(tmp_path / "graph")
+    assert cli.main(["query", "--graph", folder]) == 1
+    assert cli.main(["build", "--rules", str(tmp_path / "r.json"), "--graph", folder]) == 0
+    assert "Build report" in capsys.readouterr().out
+    for args in (["query", "--graph", folder], ["query", "--graph", folder, "--name", "国家防汛抗旱应急预案"], ["summary", "--graph", folder, "--out", str(tmp_path / "s.json")], ["repair", "--graph", folder]):
+        assert cli.main(args) == 0
+    out = capsys.readouterr().out
+    assert "SUB_PLAN_OF" in out and '"missing_after": 0' in out and "error" not in out
+
+
+def test_upsert_is_idempotent_and_order_free(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice("ab"), rnd.choice("xyz"), "s", i, rnd.choice([None, f"d{i}"])) for i in range(60)]
+    schema = "label string, name string, source_name string, seq long, description string"
+    one = sorted(map(tuple, graph.upsert_nodes(None, spark.createDataFrame(rows, schema)).collect()))
+    rnd.shuffle(rows)
+    assert sorted(map(tuple, graph.upsert_nodes(None, spark.createDataFrame(rows + rows, schema)).collect())) == one
