@@ -206,7 +206,7 @@ class Name:
         long = [w for w in lower if len(w) > 1]
         initials = [w for w in lower if len(w) == 1]
         if len(long) == 1 and initials:
-            self.partial, self.surname, self.given = "initial", long[0], initials[0] if lower[0] in initials else initials[0]
+            self.partial, self.surname, self.given = "initial", long[0], initials[0]
         elif len(long) == 1 and self.titled:
             self.partial, self.surname = "surname", long[0]
         else:
