@@ -299,7 +299,7 @@ def rule_filter(spark, d):
 SELECT doc_id, n AS char_count, w AS word_count, len(regexp_split_to_array(text, '[。！？；]')) AS sentence_count, h AS chinese_chars, round(h / n, 6) AS chinese_ratio, d AS numbers, CASE WHEN w > 0 THEN round(d / w, 6) ELSE 0.0 END AS number_ratio, p AS punctuations, round(p / n, 6) AS punctuation_ratio FROM t"""
 )
 def text_features(spark, d):
-    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", *[v.alias(k) for k, v in text.features(F.col("text")).items()])
+    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", *[(v if "ratio" in k else v.cast("long")).alias(k) for k, v in text.features(F.col("text")).items()])
 
 
 _ONE_BLANK = f"regexp_replace(coalesce(text, ''), '{_SP}+', ' ', 'g')"
@@ -344,7 +344,7 @@ def relation_valid(spark, d):
 def entity_evidence(spark, d):
     at = text.find(F.col("source_text"), F.col("name"))
     rows = table(spark, d, "entities").withColumn("at", at).where("at >= 0")
-    return rows.select("entity_id", "at", text.window(F.col("source_text"), F.col("at"), F.col("at") + F.length("name")).alias("around")).distinct()
+    return rows.select("entity_id", F.col("at").cast("long").alias("at"), text.window(F.col("source_text"), F.col("at"), F.col("at") + F.length("name")).alias("around")).distinct()
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.device'), json_extract_string(props, '$.page'), 'none') AS picked FROM events")
@@ -367,7 +367,7 @@ def _probe(spark, d) -> list[float]:
 
 @query(f"WITH {_V} SELECT vec_id, len(e) AS dim, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm_l2 FROM v")
 def embedding_stats(spark, d):
-    return alias.embedding_stats(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return alias.embedding_stats(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("dim", F.col("dim").cast("long"))
 
 
 @query(f"WITH {_V}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / l)), 6) AS total, round(e[1] / l, 6) AS first FROM n")
@@ -576,8 +576,8 @@ def bridge_breakdown(spark, d):
 
 
 @query(
-    f"""WITH {_GRAPH}, l(label) AS (VALUES {_LABEL_ROWS}) SELECT l.label, count(n.name) AS total, count_if(n.name IS NOT NULL AND trim(coalesce(description, '')) = '') AS no_description, count_if(n.name IS NOT NULL AND coalesce(len(aliases), 0) = 0) AS no_aliases,
-count_if(n.name IS NOT NULL AND trim(coalesce(document_id, '')) = '') AS no_document, count_if(n.name IS NOT NULL AND chunk_index IS NULL) AS no_chunk FROM l LEFT JOIN nodes n ON n.label = l.label GROUP BY ALL"""
+    f"""WITH {_GRAPH}, l(label) AS (VALUES {_LABEL_ROWS}) SELECT l.label, count(n.name) AS total, count(CASE WHEN n.name IS NOT NULL AND trim(coalesce(description, '')) = '' THEN 1 END) AS no_description, count(CASE WHEN n.name IS NOT NULL AND coalesce(len(aliases), 0) = 0 THEN 1 END) AS no_aliases,
+count(CASE WHEN n.name IS NOT NULL AND trim(coalesce(document_id, '')) = '' THEN 1 END) AS no_document, count(CASE WHEN n.name IS NOT NULL AND chunk_index IS NULL THEN 1 END) AS no_chunk FROM l LEFT JOIN nodes n ON n.label = l.label GROUP BY ALL"""
 )
 def property_completeness(spark, d):
     return graph.completeness(_graph(spark, d)[0])
@@ -720,7 +720,7 @@ def anchor_contains(spark, d):
 # payloads, records, reports --------------------------------------------------------------------------------
 
 
-@query("SELECT record_id, body->>'rule_name' AS name, coalesce(json_array_length(body->'elements'), 0) AS n_elements FROM (SELECT record_id, body::JSON AS body FROM rule_json)")
+@query("SELECT record_id, body->>'rule_name' AS name, CAST(coalesce(json_array_length(body->'elements'), 0) AS BIGINT) AS n_elements FROM (SELECT record_id, body::JSON AS body FROM rule_json)")
 def json_payload(spark, d):
     """Each rule's JSON as the answer of a model: fenced, in Han, broken off at the end; read back by the tolerant reader."""
     answer = F.concat(F.lit('结果如下：\n```json\n{"entities": ['), F.col("body"), F.lit(',], "relations": [], "bridge_relations": [{"subject": "'))
@@ -732,12 +732,12 @@ def json_payload(spark, d):
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS prompt_sha256, coalesce(length(text), 0) AS prompt_chars FROM documents")
 def trace_records(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.prompt_hash(F.col("text")).alias("prompt_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("prompt_chars"))
+    return table(spark, d, "documents").select("doc_id", text.prompt_hash(F.col("text")).alias("prompt_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("prompt_chars"))
 
 
 @query(
     """WITH d AS (SELECT coalesce(e.document_id, r.document_id) AS document_id, coalesce(e.n, 0) AS entities, coalesce(r.n, 0) AS relations FROM (SELECT document_id, count(DISTINCT entity_id) AS n FROM entities GROUP BY ALL) e FULL JOIN (SELECT document_id, count(DISTINCT relation_id) AS n FROM relations GROUP BY ALL) r ON e.document_id = r.document_id)
-SELECT count(*) AS documents, count_if(entities > 0 AND relations > 0) AS succeeded, count_if(NOT (entities > 0 AND relations > 0)) AS failed, round(count_if(entities > 0 AND relations > 0) / count(*), 6) AS success_rate, CAST(sum(entities) AS BIGINT) AS entities, CAST(sum(relations) AS BIGINT) AS relations FROM d"""
+SELECT count(*) AS documents, count(CASE WHEN entities > 0 AND relations > 0 THEN 1 END) AS succeeded, count(CASE WHEN NOT (entities > 0 AND relations > 0) THEN 1 END) AS failed, round(count_if(entities > 0 AND relations > 0) / count(*), 6) AS success_rate, CAST(sum(entities) AS BIGINT) AS entities, CAST(sum(relations) AS BIGINT) AS relations FROM d"""
 )
 def run_report(spark, d):
     from planweave.plans.pipeline import run_counters
