@@ -107,6 +107,10 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LE
                 new = int(inside[np.argmin(np.abs(inside - mark))])
                 break
         else:
+            # none within the allowed lengths: a shorter piece, if there is a boundary beyond the overlap
+            early = next((x for x in (_within(at, max(cut, start + overlap) + 1, low - 1) for at in kinds) if len(x)), None)
+            if early is not None:
+                mark = int(early[-1])
             new = mark
             while new > low and (_joiner(text[new]) or text[new - 1] == "‍"):
                 new -= 1
