@@ -64,15 +64,17 @@ def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") ->
     consulted. Rows that repeat an id and its text come out once; different texts under one id, or under none,
     come out one by one.
     """
-    texts = documents.select("doc_id", "text").distinct()
+    texts = documents.select("doc_id", "text")
     positions = words(texts)
     counts = positions.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = cut(encode_words(counts, path))
     total, most = vocabulary.agg(F.sum("n"), F.max("n")).first()
     placed = lookup(positions, vocabulary, "word", "n", total or 0, most or 0)
     parts = placed.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))).alias("parts"))
-    ids = parts.select("doc_id", F.flatten(F.col("parts.word_ids")).alias("ids"))
-    without = texts.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
+    # a row delivered twice has every position twice, side by side now; whole texts need no shuffle to find such rows
+    once = F.filter("parts", lambda x, i: (i == 0) | (F.get("parts", i - 1)["pos"] != x["pos"]))
+    ids = parts.select("doc_id", F.flatten(F.transform(once, lambda x: x["word_ids"])).alias("ids"))
+    without = texts.where("text is null or text = ''").distinct().select("doc_id", F.array().cast("array<int>").alias("ids"))
     return ids.unionByName(without).select("doc_id", "ids")
 
 

@@ -227,8 +227,11 @@ def test_ids_equal_the_tokenizer_and_decode(spark, small):
     docs = table(spark, small, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     docs = docs.withColumns({"pos": F.lit(1), "word": F.lit("w"), "ids": F.lit(0)})
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0"))
     encoded = encode.encode(docs)
-    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
+    rows = encoded.collect()
+    got = {r.doc_id: list(r.ids) for r in rows}
+    assert len(rows) == len(got)
     assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
     back = {r.doc_id: r.text for r in encode.decode(encoded).collect()}
     assert back == {i: t or "" for i, t in texts.items()}
