@@ -184,7 +184,7 @@ def _fit(flagged: list[tuple[list[str], int]], chosen: list[list[tuple[str, floa
     return model.table()
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 6, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: list[int], rounds: int = 2, epochs: int = 6, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """``(table, bias)`` from documents and their class numbers (0 for clean).
 
     Without a single flagged or a single clean document nothing can be learnt: every text then scores 0.
