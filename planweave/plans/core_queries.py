@@ -391,6 +391,25 @@ def tiered_search(spark, d):
     return out.select("vec_id", F.round("similarity", 6).alias("similarity"), "tier")
 
 
+#: The query set of the searches: every row whose id this divides, against all rows.
+EVERY = 50
+_EVERY = f"s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(v.e, q.e), 12) AS s FROM v, v q WHERE q.vec_id % {EVERY} = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS n FROM s)"
+
+
+@query(f"WITH {_V}, {_EVERY} SELECT query, vec_id, round(s, 6) AS similarity FROM r WHERE n <= 20")
+def cosine_topk_set(spark, d):
+    rows = table(spark, d, "embeddings")
+    return search.top_k_set(rows, rows.where(F.col("vec_id") % EVERY == 0), "embedding", "vec_id", 20).select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_V}, {_EVERY} SELECT query, vec_id, round(s, 6) AS similarity, CASE WHEN max(s) OVER (PARTITION BY query) >= 0.6 THEN 'rule' ELSE 'weak_rule' END AS tier FROM r WHERE n <= 10")
+def tiered_search_set(spark, d):
+    """The table does not tell rules from chunks, so every row stands in both tiers and none goes unsearched."""
+    rows = table(spark, d, "embeddings")
+    out = search.tiered_set(rows, rows, rows.where(F.col("vec_id") % EVERY == 0), "embedding", "vec_id", 10)
+    return out.select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "tier")
+
+
 _NEAR = f"""{_V}, u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
 pairs AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS sim FROM u a JOIN u b USING (label)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY sim DESC, b) AS r FROM pairs),

@@ -1,6 +1,7 @@
 """Operators against plain models, golden cases and edge cases."""
 
 import io
+import math
 import random
 import zipfile
 
@@ -170,6 +171,28 @@ def test_search_tiers(spark):
     assert [r.tier for r in search.tiered(none, rules, "v", [1.0, 0.0], "id", 2).collect()] == ["chunk", "chunk"]
 
 
+def test_search_of_a_query_set(spark):
+    rnd = random.Random(5)
+    data = [(i, i % 3, [rnd.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(rnd.choice([3, 4]))]) for i in range(60)] + [(60, 0, None), (61, 1, []), (62, 9, [1.0, 1.0, 1.0])]
+    rows = spark.createDataFrame(data, "id long, b long, v array<double>")
+    queries = rows.where("id % 5 = 0")
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a or []) * sum(x * x for x in b or []))
+        return round(sum(x * y for x, y in zip(a, b)) / n, 12) if n and len(a) == len(b) else 0.0
+
+    def model(pool, block):
+        return sorted((q, i, s) for q, c, v in data if q % 5 == 0 for s, i in [(-s, i) for s, i in sorted((-cos(v, w), i) for i, b, w in pool if not block or b == c)[:7]])
+
+    for tile in (2048, 8):
+        for block in (None, "b"):
+            got = sorted((r.query, r.key, round(r.similarity, 9)) for r in search.top_k_set(rows, queries, "v", "id", 7, block, tile).collect())
+            assert got == [(q, i, round(s, 9)) for q, i, s in model(data, block)]
+    out = search.tiered_set(rows.where("b < 2"), rows, rows.where("id in (0, 1, 2, 62)"), "v", "id", 3, block="b").collect()
+    assert {(r.query, r.tier) for r in out} == {(0, "rule"), (1, "rule"), (2, "chunk"), (62, "chunk")}
+    assert {r.tier for r in search.tiered_set(rows.where("b < 0"), rows, queries, "v", "id", 3).collect()} == {"chunk"}
+
+
 def test_upsert_first_and_last_writes(spark):
     rows = [("事件", "n", "s", 1, "a", None, 10), ("事件", "n", "s", 2, None, "x", 20), ("事件", "n", "s", 3, "c", None, 30), ("事件", None, "s", 4, "d", None, 40)]
     df = spark.createDataFrame(rows, "label string, name string, source_name string, seq long, description string, document_id string, created_at long")
