@@ -6,7 +6,7 @@ import argparse
 import json
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from planweave.operators import graph
 from planweave.plans import pipeline
@@ -14,6 +14,18 @@ from planweave.session import ship
 from planweave.sources import providers, readers, sinks
 
 
+def print_lists(lists: dict[str, DataFrame]) -> None:
+    """One JSON object with a list of rows by name, however many: rows are written as they come, a partition at a time on the driver."""
+    sep = "{"
+    for name, df in lists.items():
+        print(f"{sep}{json.dumps(name)}: [", end="")
+        for k, r in enumerate(df.toLocalIterator()):
+            print(", " * (k > 0) + json.dumps(r.asDict(), ensure_ascii=False, default=str), end="")
+        print("]", end="")
+        sep = ", "
+    print("}")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="planweave", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -51,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     nodes, edges = tables
     if args.command == "query" and args.name:
-        print(json.dumps({"nodes": [r.asDict() for r in graph.lookup_entity(nodes, args.name).limit(1000).collect()], "relations": [r.asDict() for r in graph.lookup_relations(edges, args.name, args.direction, args.relation).limit(1000).collect()]}, ensure_ascii=False, default=str))
+        print_lists({"nodes": graph.lookup_entity(nodes, args.name), "relations": graph.lookup_relations(edges, args.name, args.direction, args.relation).orderBy("subject", "predicate", "object")})
     elif args.command == "query":
         print(json.dumps([r.asDict() for r in graph.statistics(nodes, edges).collect()], ensure_ascii=False))
     elif args.command == "summary":

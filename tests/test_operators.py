@@ -1,6 +1,7 @@
 """Operators against plain models, golden cases and edge cases."""
 
 import io
+import json
 import math
 import random
 import zipfile
@@ -432,6 +433,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert "SUB_PLAN_OF" in out and '"missing_after": 0' in out and "error" not in out
 
 
+def test_command_line_gives_every_row_of_a_name(spark, tmp_path, capsys):
+    from planweave import __main__ as cli
+
+    folder = str(tmp_path / "graph")
+    nodes = spark.range(1500).selectExpr("'任务' as label", "'hub' as name", "concat('s', id) as source_name")
+    edges = spark.range(2500).selectExpr("'hub' as src_name", "'A_B' as type", "concat('o', id) as dst_name")
+    graph.GraphStore(spark, folder).write(nodes, edges)
+    capsys.readouterr()
+    assert cli.main(["query", "--graph", folder, "--name", "hub"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert [r["source_name"] for r in got["nodes"]] == sorted(f"s{i}" for i in range(1500))
+    assert [r["object"] for r in got["relations"]] == sorted(f"o{i}" for i in range(2500)) and got["relations"][0]["predicate"] == "A B"
+    assert cli.main(["query", "--graph", folder, "--name", "nobody"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"nodes": [], "relations": []}
+
+
 def test_upsert_is_idempotent_and_order_free(spark):
     rnd = random.Random(12)
     rows = [(rnd.choice("ab"), rnd.choice("xyz"), "s", i, rnd.choice([None, f"d{i}"])) for i in range(60)]
