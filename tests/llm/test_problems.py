@@ -55,6 +55,15 @@ def test_groups_of_nothing_and_nulls(spark):
     assert groups_of(spark, [(4, 4), (None, 4)]) == {4: 4}
 
 
+def test_every_record_has_one_group(spark, small):
+    rows = [tuple(r) for r in queries.p1_records(spark, small).collect()]
+    group = dict(rows)
+    records = {r.canon_id for r in table(spark, small, "canonical_entities").collect()}
+    matched = dict(tuple(r) for r in queries.p1_groups(spark, small).collect())
+    assert len(rows) == len(group) and set(group) == records | set(matched) and records - set(matched)
+    assert all(group[i] == matched.get(i, i) for i in group)
+
+
 # 2 -----------------------------------------------------------------------------------------------------------
 
 
