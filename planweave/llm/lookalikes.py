@@ -96,7 +96,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms = [appearance(s) for s in batch["s"]]
         images = [image(f) for f in forms]
         marked = [[{"token": t, "image": image(t), "script": script(t)} for t in tokens(f)] for f in forms]
-        yield pd.DataFrame({"s": batch["s"], "base": forms, "image": images, "tokens": marked})
+        yield pd.DataFrame({"s": batch["s"], "n": batch["n"], "base": forms, "image": images, "tokens": marked})
 
 
 def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,10 +111,10 @@ def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def spellings(described: DataFrame) -> DataFrame:
     """``(image, spelling)`` for each Latin image that a token with look-alike letters has.
 
-    The spelling is the all-Latin one if the corpus holds it; else the most frequent spelling in one other
+    ``n`` of a row of ``described`` is how many rows hold its string. The spelling is the all-Latin one if the corpus holds it; else the most frequent spelling in one other
     script (of equally frequent ones the first in order); else, with mixed tokens only, the image.
     """
-    vocabulary = described.select(F.explode("tokens").alias("t")).groupBy("t.token", "t.image", "t.script").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = described.select("n", F.explode("tokens").alias("t")).groupBy("t.token", "t.image", "t.script").agg(F.sum("n").alias("n"))
     suspect = vocabulary.where("token <> image").select("image").distinct()
     of_image = vocabulary.join(suspect, "image", "left_semi").groupBy("image").agg(
         F.max(F.col("script") == "latin").alias("latin"),
@@ -129,8 +129,8 @@ def forms(strings: DataFrame, column: str) -> DataFrame:
     Strings with equal forms look the same and strings that look different have different forms. Null has no
     form; a blank string has the form ''. Other columns are ignored.
     """
-    distinct = strings.select(F.col(column).alias("s")).where("s is not null").distinct()
-    described = distinct.mapInPandas(_describe, "s string, base string, image string, tokens array<struct<token:string,image:string,script:string>>")
+    distinct = strings.select(F.col(column).alias("s")).where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    described = distinct.mapInPandas(_describe, "s string, n long, base string, image string, tokens array<struct<token:string,image:string,script:string>>")
     chosen = spellings(described)
     plain = described.where("base = image").select("s", F.col("base").alias("form"))
     spread = described.where("base <> image").select("s", "base", F.posexplode("tokens").alias("pos", "t"))

@@ -212,6 +212,12 @@ def test_forms_follow_the_corpus(spark):
     assert got["хоp"] == got["xop"] == "xop" and got[""] == "" and len(got) == 5
 
 
+def test_vocabulary_counts_rows(spark):
+    rows = [("рор",)] * 5 + [("ρορ",), ("ρορ а",), ("роp",)]
+    got = {r.s: r.form for r in lookalikes.forms(spark.createDataFrame(rows, "s string"), "s").collect()}
+    assert got["роp"] == got["рор"] == "рор"
+
+
 def test_found_looks_alike(spark):
     e = spark.createDataFrame([(1, "d", "Kate", "x"), (1, "d", "Kate", "y"), (2, "d", "", "x"), (3, "d", None, "x"), (4, None, "Kate", "x"), (5, "e", "Каte", "x"), (6, "d", "zone ", "x")], "entity_id long, document_id string, name string, form string")
     r = spark.createDataFrame([(7, "d", "Каte", "Kate"), (7, "d", "Каte", "Kate"), (8, "d", None, "zone"), (9, "d", "Kate​", " ")], "relation_id long, document_id string, subject string, object string")
