@@ -45,6 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "summary":
             sub.add_argument("--top", type=int, default=20)
             sub.add_argument("--out")
+            sub.add_argument("--tables", help="folder for the lists that grow with the data, whole")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
     spark = SparkSession.builder.appName("planweave").getOrCreate()
@@ -67,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "query":
         print(json.dumps([r.asDict() for r in graph.statistics(nodes, edges).collect()], ensure_ascii=False))
     elif args.command == "summary":
-        got = graph.summary(nodes, edges, args.top)
+        got = graph.summary(nodes, edges, args.top, tables=args.tables)
         if args.out:
             sinks.save_json(got, args.out)
         print(json.dumps(got, ensure_ascii=False, default=str))

@@ -200,9 +200,30 @@ def link_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _labels(nodes.sparkSession).join(counted, "label", "left").na.fill(0)
 
 
-def summary(nodes: DataFrame, edges: DataFrame, k: int = 20) -> dict[str, list[dict]]:
-    """All statistics as lists of rows by name. Sources are the only open set in them; each list is cut at 10,000 rows for the driver.
-
+#: Lists of the summary that grow with the data (sources, labels and edge types): what their rows are counted by, and the kinds of row in them.
+OPEN = {"statistics": (["kind", "name"], ["kind"]), "nodes_by_source": (["level", "source_name", "label"], ["level"]), "edges_by_source": (["source_name"], []), "bridges": (["kind", "name"], ["kind"])}
+
+
+def first_rows(df: DataFrame, order: list, kinds: list[str], most: int) -> list[dict]:
+    """The first ``most`` rows in ``order``; what is left, if anything, is one row for each of ``kinds`` with ``rest``, the number of rows, and the sum of ``n``."""
+    rows = [r.asDict() for r in df.orderBy(*order).limit(most + 1).collect()]
+    if len(rows) <= most:
+        return rows
+    rows = rows[:most]
+    left = []
+    counts = df.groupBy(*kinds).agg(F.count(F.lit(1)).alias("rest"), F.sum("n").alias("n")).collect()
+    for t in sorted(counts, key=lambda t: [t[c] for c in kinds]):
+        shown = [r["n"] for r in rows if all(r[c] == t[c] for c in kinds)]
+        if t["rest"] > len(shown):
+            left.append(t.asDict() | {"rest": t["rest"] - len(shown), "n": t["n"] - sum(shown)})
+    return rows + left
+
+
+def summary(nodes: DataFrame, edges: DataFrame, k: int = 20, most: int = 10_000, tables: str | None = None) -> dict[str, list[dict]]:
+    """All statistics as lists of rows by name.
+
+    The lists in OPEN are ordered by count and end after ``most`` rows with the number and sum of the rest; with
+    ``tables`` they are also written whole, as JSON lines in a folder each. The others have a fixed size.
     A section that fails is reported under its name and does not stop the others.
     """
     for flag in (*FLAGS, "chunk_index", "source_name"):
@@ -222,7 +243,14 @@ def summary(nodes: DataFrame, edges: DataFrame, k: int = 20) -> dict[str, list[d
     out = {}
     for name, make in sections.items():
         try:
-            out[name] = [r.asDict() for r in make().limit(10_000).collect()]
+            df = make()
+            if name not in OPEN:
+                out[name] = [r.asDict() for r in df.collect()]
+                continue
+            by, kinds = OPEN[name]
+            if tables:
+                df.write.mode("overwrite").json(f"{tables.rstrip('/')}/{name}")
+            out[name] = first_rows(df, [F.desc("n"), *by], kinds, most)
         except Exception as e:  # noqa: BLE001
             out[name] = [{"error": f"{type(e).__name__}: {e}"[:300]}]
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from planweave.functions import packs, payload, text, vectors
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve, search
+from planweave.plans import pipeline
 from planweave.sources import providers, readers, sinks
 
 SENTENCES = [
@@ -433,6 +434,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert "SUB_PLAN_OF" in out and '"missing_after": 0' in out and "error" not in out
 
 
+def test_summary_loses_no_count(spark, tmp_path):
+    rows = [("任务", f"n{i}", f"s{i % 7}") for i in range(30)] + [("地点", f"m{i}", "s0") for i in range(5)]
+    nodes = spark.createDataFrame(rows, "label string, name string, source_name string").withColumns({"description": F.lit(""), "aliases": F.array().cast("array<string>"), "document_id": F.lit("d"), "chunk_index": F.lit(0)})
+    edges = spark.createDataFrame([("任务", f"n{i}", f"s{i % 7}", f"T{i % 11}", "任务", "n0", "s0", f"s{i % 7}", True) for i in range(30)], "src_label string, src_name string, src_source string, type string, dst_label string, dst_name string, dst_source string, source_name string, is_bridge boolean")
+    whole, part = graph.summary(nodes, edges), graph.summary(nodes, edges, most=3, tables=str(tmp_path))
+    for name, (by, kinds) in graph.OPEN.items():
+        assert part[name][:3] == whole[name][:3] == sorted(whole[name], key=lambda r: (-r["n"], *[(r[c] is not None, r[c] or 0) if c == "level" else (r[c] is not None, r[c] or "") for c in by]))[:3]
+        of = lambda rows, kind: sum(r["n"] for r in rows if tuple(r[c] for c in kinds) == kind)
+        for kind in {tuple(r[c] for c in kinds) for r in whole[name]}:
+            assert of(part[name], kind) == of(whole[name], kind)
+        assert sum(r.get("rest", 1) for r in part[name]) == len(whole[name]) == spark.read.json(f"{tmp_path}/{name}").count()
+    many = spark.range(250).selectExpr("concat('l', id) as label")
+    text = pipeline.report_text(spark.createDataFrame([(1, 1, 0, 1.0, 1, 1)], "documents int, succeeded int, failed int, success_rate double, entities int, relations int"), many, edges, graph.link_statistics(nodes, edges), 1.0)
+    assert "- 50 more of kind label: 50" in text and "- 11 more of kind type: 30" in text
+
+
 def test_command_line_gives_every_row_of_a_name(spark, tmp_path, capsys):
     from planweave import __main__ as cli
 
