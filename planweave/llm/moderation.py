@@ -128,9 +128,9 @@ class Model:
             for k in range(0, len(order), batch):
                 at = order[k : k + batch]
                 n = sizes[at]
-                flat = np.concatenate([bucket[starts[i] : starts[i + 1]] for i in at])
                 rows = np.repeat(np.arange(len(at)), n)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                flat = bucket[(starts[at] - first)[rows] + np.arange(len(rows))]
                 mean = np.add.reduceat(self.e[flat], first, axis=0) / n[:, None]
                 z = (mean @ self.w + self.b) * 4
                 p = np.exp(z - z.max(1, keepdims=True))
@@ -142,7 +142,8 @@ class Model:
                 gb += db * db
                 self.w -= step * dw / np.sqrt(gw)
                 self.b -= step * db / np.sqrt(gb)
-                by = np.argsort(flat, kind="stable")
+                by = np.argsort((flat & 0xFFFF).astype(np.uint16), kind="stable")
+                by = by[np.argsort((flat[by] >> 16).astype(np.uint16), kind="stable")]  # twice by 16 bits is a radix sort
                 sorted_flat = flat[by]
                 heads = np.flatnonzero(np.concatenate([[True], sorted_flat[1:] != sorted_flat[:-1]]))
                 de = np.add.reduceat(dm[rows[by]], heads, axis=0)
@@ -184,7 +185,7 @@ def _fit(flagged: list[tuple[list[str], int]], chosen: list[list[tuple[str, floa
     return model.table()
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 2, epochs: int = 6, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 6, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """``(table, bias)`` from documents and their class numbers (0 for clean).
 
     Without a single flagged or a single clean document nothing can be learnt: every text then scores 0.

@@ -319,6 +319,13 @@ def test_moderation_on_held_out_documents(spark):
     assert None in rates and sum(r.documents for r in rates.values()) == docs.count()
 
 
+def test_segments_are_chosen_again(monkeypatch):
+    fits, fit = [], moderation._fit
+    monkeypatch.setattr(moderation, "_fit", lambda flagged, chosen, clean, epochs: fits.append(len(flagged)) or fit(flagged, chosen, clean, epochs))
+    moderation.train(["calm water here\nyou idiot drop dead", "the road is closed"] * 8, [1, 0] * 8)
+    assert len(fits) == 2 * 4 + 1
+
+
 def test_moderation_without_labels(spark):
     docs, labels = moderation_tables(spark)
     assert moderation.found(moderation.scores(docs, labels.limit(0))).count() == 0
