@@ -262,6 +262,8 @@ class Name:
     def _han_body_keys(self) -> list[str]:
         c = self.codes
         own = ["s^" + " ".join(sorted(c[:3])), "s$" + " ".join(sorted(c[-4:]))]
+        if len(c) < 7:  # both keys above may hold the sign where two short bodies differ
+            own.append("s|" + c[0] + " " + c[-1])
         ends = [c[0] + " " + c[-1]]
         for k in range(1, min(6, len(c))):
             if self.han[k] in LEVELS:
@@ -291,6 +293,8 @@ class Name:
         if len(self.tokens) != 2:
             return ["sl" + " ".join(self.tokens)]
         own = ["sn" + " ".join(self.tokens)] + ["fg" + r for r in _last_readings(self.tokens)]
+        ends = [{e for known in (w, *NICKNAMES.get(w, "").split()) for e in _ends(known)} for w in self.tokens]
+        own += ["se" + " ".join(sorted((e, f))) for e in ends[0] for f in ends[1]]
         for w, x in (self.tokens, self.tokens[::-1]):
             own += ["fn" + w, "fn" + soundex(w)]
             for known in (w, *NICKNAMES.get(w, "").split()):
@@ -298,6 +302,11 @@ class Name:
         return own
 
 
+def _ends(word: str) -> list[str]:
+    """First and last letters of a Latin word, so that two words that differ in one slip share some: of up to four letters also one by one."""
+    return ["^" + word[:2], "$" + word[-2:]] + (["^" + word[:1], "$" + word[-1:]] if len(word) < 5 else [])
+
+
 def _same_given(a: str, b: str) -> bool:
     return bool({a, *NICKNAMES.get(a, "").split()} & {b, *NICKNAMES.get(b, "").split()})
 

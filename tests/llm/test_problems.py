@@ -97,6 +97,23 @@ def test_persons(spark):
     assert got == {tuple(sorted((a, b))) for part in (same, english) for a in part for b in part if a != b}
 
 
+def test_a_slip_in_each_word(spark):
+    assert linked(spark, [("Andrea Brcakbroke", PER), ("Adrea Brackbroke", PER)]) == {("Adrea Brackbroke", "Andrea Brcakbroke")}
+    rnd = random.Random(7)
+
+    def slip(w):
+        k, c = rnd.randrange(len(w)), rnd.choice("bdkmz")
+        return rnd.choice([w[:k] + c + w[k + 1 :], w[:k] + c + w[k:], w[:k] + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k] + w[k + 2 :]])
+
+    for w in ["Andrea", "Brackbroke", "Oakly", "Mary", "Lee", "Rosa"] * 200:
+        v = slip(w.lower())
+        assert len(v) < 3 or set(names._ends(w.lower())) & set(names._ends(v)), (w, v)
+
+
+def test_short_bodies_with_a_slip_in_the_third_sign(spark):
+    assert linked(spark, [("临河县民政局", ORG), ("临河山民政局", ORG)]) == {tuple(sorted(("临河县民政局", "临河山民政局")))}
+
+
 def test_ambiguous_short_form_joins_nobody(spark):
     assert linked(spark, [("王小明", PER), ("王大海", PER), ("老王", PER)]) == set()
 
