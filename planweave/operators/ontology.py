@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.functions import packs
 from planweave.session import cut
 
-#: A hierarchy deeper than this is taken for a cycle.
-MAX_DEPTH = 64
 #: Plan names are broadcast only up to this many; more take the join by gram.
 BROADCAST_NAMES = 10_000
 
@@ -29,12 +29,14 @@ def depths(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """
     reached = roots.select("name").distinct().withColumn("depth", F.lit(0))
     front = reached
-    for d in range(1, MAX_DEPTH):
+    for d in count(1):
         below = edges.join(front.select(F.col("name").alias("parent")), "parent").select(F.col("child").alias("name")).distinct()
         front = cut(below.join(reached.select("name"), "name", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
+        if d % 16 == 0:  # else the plan grows with the depth
+            reached = cut(reached)
     return nodes.select("name").distinct().join(reached, "name", "left")
 
 

@@ -249,6 +249,14 @@ def test_specificity_and_cycles(spark):
     assert {r.name: r.depth for r in ontology.depths(names, edges, names.where("name = 'a'")).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None}
 
 
+def test_depths_of_a_long_chain(spark):
+    n = 70
+    nodes = spark.range(n + 1).selectExpr("concat('n', id) as name")
+    edges = spark.range(n).selectExpr("concat('n', id + 1) as child", "concat('n', id) as parent")
+    got = {r.name: r.depth for r in ontology.depths(nodes, edges.unionByName(spark.createDataFrame([("n0", "n70")], edges.schema)), nodes.where("name = 'n0'")).collect()}
+    assert got == {f"n{i}": i for i in range(n + 1)}
+
+
 def test_anchor_both_ways_agree(spark):
     sources = spark.createDataFrame([("某市防汛抗旱应急预案汇编",), ("防汛",), ("无关",), (None,)], "source_name string")
     plans = spark.createDataFrame([("防汛抗旱应急预案",), ("防汛",), ("抗旱应急",), ("",)], "name string")
