@@ -3,39 +3,46 @@
 A text is cut into short segments; a segment is the bag of its character n-grams, hashed to buckets. The mean of the
 bucket embeddings goes through a linear softmax over (clean, abusive, hateful, sexual); embeddings and softmax are
 trained jointly in numpy. A label speaks of a whole document while the offence is usually one sentence, so training
-alternates: the segment of a flagged document that a model fitted without that document finds worst
-carries its label, the others carry none; segments of unflagged documents are clean. A document scores as its worst
-segment.
+alternates: models that have not seen a flagged document share its label out over its segments, by their scores
+and the chance that the label is a reviewer's slip; then each distinct segment is one example, whose target is the
+part of its documents that gave it their label. So a sentence that clean and flagged documents hold alike stays clean.
+A document scores as its worst segment.
 
-Labels are read up to ``MAX_LABELS`` rows, a bound on what the driver holds; every document is scored, whole.
+Labels are read up to ``MAX_LABELS`` documents and ``MAX_CHARS`` characters, a bound on what training holds; every
+document is scored, whole. The models of a round are trained side by side on the executors.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.llm.lookalikes import appearance, image
-from planweave.session import spread
+from planweave.session import cut, spread
 
-#: The most labelled documents that training takes; beyond it a hash sample of that size is taken.
-MAX_LABELS = 30_000
+#: The most labelled documents that training takes, and the most characters of them; beyond it a hash sample of that size is taken.
+MAX_LABELS, MAX_CHARS = 30_000, 60_000_000
 BUCKETS, DIM, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 SEGMENT = 64
 #: Characters that are turned into n-grams at once, a bound on memory.
 SLICE = 100_000
 THRESHOLD = 0.5
-#: How much the segments of a flagged document count of which none stands out.
-DOUBT = 0.3
-
-_CUT = re.compile(r"[\n\r。！？!?；;]+|(?<=[a-zA-Z\])])\.+(?:\s+|$)|…+|\.{3,}")
+#: The weight of a slip of the reviewer beside the scores of a flagged document's segments.
+SLIP = 0.05
+#: How much more a segment's share of a label counts than a document that holds it without one.
+BOOST = 6.0
+#: So many n-grams without a say are added to each bag that is scored, so that a word or two alone decide nothing.
+PAD = 4
+
+_CUT = re.compile(r"[\n\r。！？!?；;\u2600-\u27bf\U0001f000-\U0001faff]+|(?<=[a-zA-Z\])])\.+(?:\s+|$)|…+|\.{3,}")
 _DROP = re.compile(r"[^\w *]|_")
 _LATIN, _OTHER = re.compile("[a-z][a-z0-9* ]+"), re.compile("[^a-z0-9* ]{4,}")
 _STARS = re.compile(r"\*{2,}")
@@ -116,8 +123,8 @@ class Model:
         self.w = np.zeros((DIM, len(CLASSES)), np.float32)
         self.b = np.zeros(len(CLASSES), np.float32)
 
-    def fit(self, parts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int, rate: float = 0.15, batch: int = 256, seed: int = 11) -> None:
-        """Adagrad on minibatches of distinct segments; ``weights`` are how much each counts."""
+    def fit(self, parts: list[str], target: np.ndarray, weights: np.ndarray, epochs: int, rate: float = 0.15, batch: int = 256, seed: int = 11) -> None:
+        """Adagrad on minibatches of distinct segments; ``target`` has a row of class shares for each, ``weights`` are how much each counts."""
         bucket, sizes = grams(parts)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         ge, gw, gb = np.full(BUCKETS, 1e-4, np.float32), np.full_like(self.w, 1e-4), np.full_like(self.b, 1e-4)
@@ -135,7 +142,7 @@ class Model:
                 z = (mean @ self.w + self.b) * 4
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                p[np.arange(len(at)), labels[at]] -= 1
+                p -= target[at]
                 p *= (weights[at] / len(at))[:, None] * 4
                 dw, db, dm = mean.T @ p, p.sum(0), (p @ self.w.T) / n[:, None]
                 gw += dw * dw
@@ -161,62 +168,106 @@ def score_parts(parts: list[str], table: np.ndarray, bias: np.ndarray) -> np.nda
     for some in _slices(parts):
         bucket, sizes = _grams(some)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        z = np.add.reduceat(table[bucket], first, axis=0) / sizes[:, None] + bias
+        z = np.add.reduceat(table[bucket], first, axis=0) / (sizes + PAD)[:, None] + bias
         p = np.exp(z - z.max(1, keepdims=True))
         out.append(p / p.sum(1, keepdims=True))
     return np.concatenate(out)
 
 
-def _fit(flagged: list[tuple[list[str], int]], chosen: list[list[tuple[str, float]]], clean: Counter, epochs: int) -> tuple[np.ndarray, np.ndarray]:
-    """One model from the segments chosen for flagged documents and the segments of clean ones, with their counts."""
-    positive: dict[tuple[str, int], float] = {}
-    for (_, c), own in zip(flagged, chosen):
-        for s, w in own:
-            positive[s, c] = positive.get((s, c), 0) + w
-    dirty = {s for s, _ in positive}
-    parts = [s for s, _ in positive] + [s for s in clean if s not in dirty]
-    target = np.array([c for _, c in positive] + [0] * (len(parts) - len(positive)))
-    weights = np.array([min(w, 3.0) for w in positive.values()] + [min(3.0, clean[s]) ** 0.5 for s in parts[len(positive) :]], np.float32)
-    ratio = 0.25 * weights[len(positive) :].sum() / max(weights[: len(positive)].sum(), 1e-9)
-    weights[: len(positive)] *= min(6.0, max(1.0, ratio))
-    model = Model()
-    if parts:
-        model.fit(parts, target, weights, epochs)
-    return model.table()
+class Lessons:
+    """Labelled documents as arrays: the distinct segments, and for each segment of each document its number and that of the document."""
+
+    def __init__(self, docs: list[list[str]], labels: list[int], folds: int):
+        number: dict[str, int] = {}
+        for d in docs:
+            for s in d:
+                number.setdefault(s, len(number))
+        self.parts = list(number)
+        self.segment = np.array([number[s] for d in docs for s in d], int)
+        self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        self.label = np.array(labels, int)[self.doc]
+        self.fold = self.doc % folds
+
+    def first(self) -> np.ndarray:
+        """At first every segment of a flagged document that no clean one has is suspect."""
+        clean = np.bincount(self.segment[self.label == 0], minlength=len(self.parts))
+        return np.where((self.label > 0) & (clean[self.segment] == 0), 1.0, 0.0)
+
+    def shares(self, suspect: np.ndarray) -> np.ndarray:
+        """The part of its document's label that each segment gets; the rest is the reviewer's slip."""
+        own = np.where(self.label > 0, suspect, 0.0)
+        return own / (SLIP + np.bincount(self.doc, own)[self.doc])
+
+    def learn(self, share: np.ndarray, epochs: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """One model, from all documents or all but those of one fold."""
+        seen = np.flatnonzero(self.fold != without) if without is not None else np.arange(len(self.doc))
+        n, segment, w = len(self.parts), self.segment[seen], share[seen]
+        offence = np.zeros((n, len(CLASSES)))
+        np.add.at(offence, (segment, self.label[seen]), np.where(self.label[seen] > 0, w * BOOST, 0.0))
+        offence[:, 0] = np.bincount(segment, 1 - w, n)
+        total = offence.sum(1)
+        used = np.flatnonzero(total > 0)
+        model = Model()
+        model.fit([self.parts[i] for i in used], (offence[used] / total[used, None]).astype(np.float32), np.sqrt(total[used]).astype(np.float32), epochs)
+        return model.table()
+
+    def judged(self, share: np.ndarray, epochs: int, fold: int) -> np.ndarray:
+        """What a model that has not seen the documents of a fold thinks of their segments; 0 for all others."""
+        here = np.flatnonzero(self.fold == fold)
+        out = np.zeros(len(self.doc), np.float32)
+        own, back = np.unique(self.segment[here], return_inverse=True)
+        out[here] = (1 - score_parts([self.parts[i] for i in own], *self.learn(share, epochs, fold))[:, 0])[back]
+        return out
+
+
+#: Runs a method of the lessons once for each list of arguments.
+Each = Callable[[Lessons], Callable[[str, list[tuple]], list]]
+
+
+def here(lessons: Lessons) -> Callable[[str, list[tuple]], list]:
+    return lambda method, calls: [getattr(lessons, method)(*args) for args in calls]
+
 
+def on_executors(spark: SparkSession) -> Each:
+    """The calls as tasks of one job, each on whatever executor is free; a lost one is done again."""
 
-def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 6, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """``(table, bias)`` from documents and their class numbers (0 for clean).
+    def each(lessons: Lessons) -> Callable[[str, list[tuple]], list]:
+        shared = spark.sparkContext.broadcast(lessons)
+
+        def run(method: str, calls: list[tuple]) -> list:
+            sent = spark.sparkContext.broadcast(calls)
+
+            def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    for k in batch["id"]:
+                        yield pd.DataFrame({"id": [k], "result": [pickle.dumps(getattr(shared.value, method)(*sent.value[k]))]})
+
+            rows = spark.range(0, len(calls), 1, len(calls)).mapInPandas(work, "id long, result binary").collect()
+            return [pickle.loads(r["result"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+        return run
+
+    return each
+
+
+def train(docs: list[list[str]], labels: list[int], rounds: int = 3, epochs: int = 6, folds: int = 4, each: Each = here) -> tuple[np.ndarray, np.ndarray]:
+    """``(table, bias)`` from the segments of documents and their class numbers (0 for clean).
 
     Without a single flagged or a single clean document nothing can be learnt: every text then scores 0.
     """
-    docs = [list(dict.fromkeys(segments(t))) for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, y = [docs[i] for i in keep], np.array([labels[i] for i in keep], int)
-    if not len(y) or not y.any() or y.all():
+    kept = [(list(dict.fromkeys(d)), c) for d, c in zip(docs, labels) if d]
+    if not any(c for _, c in kept) or all(c for _, c in kept):
         return np.zeros((BUCKETS, len(CLASSES)), np.float32), np.array([50, -50, -50, -50], np.float32)
-    clean = Counter(s for d, c in zip(docs, y) if c == 0 for s in d)
-    flagged = [(d, c) for d, c in zip(docs, y) if c]
-    # at first every segment of a flagged document that no clean one has is suspect
-    first = [[(s, 1 / len(d)) for s in d if not clean[s]] for d, _ in flagged]
-    chosen = first
+    lessons = Lessons([d for d, _ in kept], [c for _, c in kept], folds)
+    run, suspect = each(lessons), lessons.first()
     for _ in range(rounds - 1):
-        # a document's segment is chosen by a model that has not seen it, else slips of reviewers are learnt by heart
-        new: list[list[tuple[str, float]]] = [[] for _ in flagged]
-        for fold in range(folds):
-            seen = [i for i in range(len(flagged)) if i % folds != fold]
-            table, bias = _fit([flagged[i] for i in seen], [chosen[i] for i in seen], clean, epochs)
-            for i in range(fold, len(flagged), folds):
-                p = 1 - score_parts(flagged[i][0], table, bias)[:, 0]
-                worst = int(p.argmax())
-                # where nothing stands out the label may be a slip, or the offence of a kind not seen elsewhere
-                new[i] = [(flagged[i][0][worst], 1.0)] if p[worst] > 0.25 else [(s, DOUBT * w) for s, w in first[i]]
-        chosen = new
-    return _fit(flagged, chosen, clean, epochs)
-
-
-def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
-    """``(text, class)`` of labelled documents: flagged when more labels of it say so than not; at most ``most``.
+        # a document is judged by a model that has not seen it, else slips of reviewers are learnt by heart
+        suspect = sum(run("judged", [(lessons.shares(suspect), epochs, fold) for fold in range(folds)]))
+    return run("learn", [(lessons.shares(suspect), epochs)])[0]
+
+
+def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELS, chars: int = MAX_CHARS) -> DataFrame:
+    """``(place, text, class)`` of labelled documents, ``place`` being the order in which they are taken: flagged when more labels of it say so than not; at most ``most`` of at most ``chars`` characters together.
 
     Labels with a null document or flag, and documents with a null or empty text, are left out; an unknown
     or null category of a flagged document counts as abusive.
@@ -227,8 +278,19 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELS) ->
     )
     decided = votes.where("share <> 0.5").select("doc_id", F.when(F.col("share") > 0.5, F.col("best.c")).otherwise(0).alias("class"))
     texts = documents.where(F.length("text") > 0).select("doc_id", "text")
-    rows = texts.join(decided, "doc_id").select("doc_id", "text", "class")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+    place = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    rows = cut(texts.join(decided, "doc_id").select("text", "class", place.alias("place")))
+    known = rows.select("place", F.length("text").alias("n")).orderBy("place").limit(most + 1).collect()
+    room = next((k for k, total in enumerate(accumulate(r["n"] for r in known[:most])) if total > chars), min(most, len(known)))
+    if room < len(known):
+        end = F.struct(*(F.lit(x).cast("long").alias(f) for f, x in zip("hdt", known[room]["place"])))
+        rows = rows.where(F.col("place") < end)
+    return rows.select("place", "text", "class")
+
+
+def _segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"h": batch["h"], "d": batch["d"], "t": batch["t"], "parts": [segments(t) for t in batch["text"]], "class": batch["class"]})
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,8 +298,10 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null, empty and blank texts score 0 with a null category, as does every text where there are no labels.
     """
-    sample = labelled(documents, labels).collect()
-    learnt = documents.sparkSession.sparkContext.broadcast(train([r["text"] for r in sample], [r["class"] for r in sample]))
+    spark = documents.sparkSession
+    rows = spread(labelled(documents, labels)).select("place.*", "text", "class")
+    sample = sorted(rows.mapInPandas(_segmented, "h long, d long, t long, parts array<string>, class int").collect())
+    learnt = spark.sparkContext.broadcast(train([r["parts"] for r in sample], [r["class"] for r in sample], each=on_executors(spark)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, bias = learnt.value

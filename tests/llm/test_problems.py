@@ -337,12 +337,53 @@ def test_moderation_on_held_out_documents(spark):
 
 
 def test_segments_are_chosen_again(monkeypatch):
-    fits, fit = [], moderation._fit
-    monkeypatch.setattr(moderation, "_fit", lambda flagged, chosen, clean, epochs: fits.append(len(flagged)) or fit(flagged, chosen, clean, epochs))
-    moderation.train(["calm water here\nyou idiot drop dead", "the road is closed"] * 8, [1, 0] * 8)
+    fits, learn = [], moderation.Lessons.learn
+    monkeypatch.setattr(moderation.Lessons, "learn", lambda self, *args: fits.append(len(args)) or learn(self, *args))
+    docs = [moderation.segments("calm water here\nyou idiot drop dead"), moderation.segments("the road is closed")]
+    moderation.train(docs * 8, [1, 0] * 8)
     assert len(fits) == 2 * 4 + 1
 
 
+def test_a_sentence_that_clean_documents_hold_too_stays_clean():
+    rnd = random.Random(3)
+    common = ["车钥匙在值班室第{}个抽屉", "queue at the shelter took {} hours", "刚刚地震了吗 楼晃了一下"]
+    docs, labels = [], []
+    for i in range(600):
+        bad, slip = i % 10 == 0, i % 25 == 1
+        lines = [rnd.choice(common).format(i) for _ in range(3)] + (["你这个白痴滚出去", "whoever wrote this is an idiot"][i % 20 == 0 :][:1] if bad else [])
+        docs.append(moderation.segments("\n".join(lines)))
+        labels.append(int(bad or slip))
+    learnt = moderation.train(docs, labels)
+    calm = 1 - moderation.score_parts([s for c in common for s in moderation.segments(c.format(7))], *learnt)[:, 0]
+    rude = 1 - moderation.score_parts(moderation.segments("你这个白痴滚出去\nwhoever wrote this is an idiot"), *learnt)[:, 0]
+    assert calm.max() < 0.5 < rude.min()
+
+
+def test_labels_are_bounded_in_rows_and_characters(spark):
+    docs, labels = moderation_tables(spark)
+    whole = moderation.labelled(docs, labels).count()
+    assert whole == 400 and moderation.labelled(docs, labels, most=50).count() == 50
+    lengths = sum(len(r.text) for r in moderation.labelled(docs, labels).collect())
+    some = moderation.labelled(docs, labels, chars=lengths // 2).collect()
+    assert 0 < len(some) < whole and sum(len(r.text) for r in some) <= lengths // 2
+    assert moderation.labelled(docs, labels, chars=lengths).count() == whole
+
+
+@pytest.mark.parametrize("folder, parts, precision, recall", [("sf0.1", 3, 0.75, 0.25), ("check_l", 1, 0.93, 0.7)])
+def test_moderation_held_out_on_the_real_tables(spark, folder, parts, precision, recall):
+    """Against the reviewers' labels as they stand, slips included: at least a fifth of those that flag are slips, which no model can find again."""
+    found = labelled = both = 0
+    rows = moderation.labelled(table(spark, f"/root/testdata/{folder}", "documents"), table(spark, f"/root/testdata/{folder}", "moderation_labels"))
+    rows = [(moderation.segments(r.text), r["class"]) for r in sorted(rows.collect())]
+    for split in range(parts):
+        kept, held = [r for i, r in enumerate(rows) if i % 3 != split], [r for i, r in enumerate(rows) if i % 3 == split]
+        learnt = moderation.train([d for d, _ in kept], [c for _, c in kept])
+        got = [bool(d) and (1 - moderation.score_parts(d, *learnt)[:, 0]).max() >= moderation.THRESHOLD for d, _ in held]
+        found, labelled, both = found + sum(got), labelled + sum(c > 0 for _, c in held), both + sum(g and c > 0 for g, (_, c) in zip(got, held))
+    print(folder, "held out:", labelled, "labelled,", found, "found,", both, "both")
+    assert both >= precision * found and both >= recall * labelled
+
+
 def test_moderation_without_labels(spark):
     docs, labels = moderation_tables(spark)
     assert moderation.found(moderation.scores(docs, labels.limit(0))).count() == 0
