@@ -86,31 +86,20 @@ def soundex(word: str) -> str:
     return out[:4].ljust(4, "0")
 
 
-def edits(a, b, most: int = 2) -> int:
-    """Optimal string alignment distance of two sequences, or ``most + 1`` beyond ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return min(row[-1], most + 1)
-
-
-def jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
+def jaro_winkler(a, b) -> float:
+    """Similarity of two strings or sequences of readings, the better of both directions.
+
+    The window in which elements match is at least one wide, so that a swap counts in short ones too, and of equal
+    elements in it the nearest is taken, of two as near the one on the side where the longer goes on, so that a repeated one does not look moved.
+    """
+    return 1.0 if a == b else max(_jaro_winkler(a, b), _jaro_winkler(b, a))
+
+
+def _jaro_winkler(a, b) -> float:
+    reach = max(1, max(len(a), len(b)) // 2 - 1)
     used, first = [False] * len(b), []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+        for j in sorted(range(max(0, i - reach), min(len(b), i + reach + 1)), key=lambda j: (abs(i - j), (j < i) == (len(b) > len(a)))):
             if not used[j] and b[j] == c:
                 used[j] = True
                 first.append(c)
@@ -127,6 +116,27 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: What one slip, and two, may cost of the Jaro-Winkler similarity of sequences whose lengths differ by so much, times the length: a wrong element costs 2/3, a missing one 1/3, less after a common beginning.
+ONE_SLIP, TWO_SLIPS = {0: 2 / 3, 1: 1 / 3}, {0: 1.2, 1: 0.95, 2: 0.7}
+#: The similarity that the sorted readings of two Han persons must reach: another given name is another person.
+SAME_READINGS = 0.995
+#: The similarity that a short form must reach with the readings of its full form.
+SHORT_FORM = 0.5
+
+
+def slips(a, b, most: int = 1) -> int:
+    """How many slips the Jaro-Winkler similarity of two sequences of about one length stands for: 0, 1, 2, or ``most + 1`` where they are not alike."""
+    if a == b:
+        return 0
+    n, apart = max(len(a), len(b)), abs(len(a) - len(b))
+    if apart >= (3 if most > 1 else 2):
+        return most + 1
+    lost = (1 - jaro_winkler(a, b)) * n - 1e-9
+    if lost <= ONE_SLIP.get(apart, 0):
+        return 1
+    return 2 if most > 1 and lost <= TWO_SLIPS[apart] else most + 1
+
+
 def _subsequence(short, long) -> bool:
     it = iter(long)
     return all(any(x == y for y in it) for x in short)
@@ -231,7 +241,7 @@ class Name:
             if w in LEVEL_SHORT and k in (1, 2):
                 w = LEVEL_SHORT[w]
             elif k in (1, 2) and not self.level and len(w) > 4:
-                w = next((x for x in LATIN_LEVELS if edits(w, x, 1) <= 1), w)
+                w = next((x for x in LATIN_LEVELS if slips(w, x) <= 1), w)
             if w in LATIN_LEVELS and not self.level and k in (1, 2):
                 self.level = w
                 self.place = " ".join(out)
@@ -312,8 +322,8 @@ def _same_given(a: str, b: str) -> bool:
 
 
 def _close(a: str, b: str, most: int) -> int:
-    """Edits between two Latin words, or a large number when they are no slip of one another."""
-    d = edits(a, b, most)
+    """Slips between two Latin words by their Jaro-Winkler similarity, or a large number when they are no slip of one another."""
+    d = slips(a, b, most)
     if d == 0:
         return 0
     least = 0.8 if d == 1 else 0.9
@@ -373,11 +383,9 @@ def _persons(a: Name, b: Name) -> str:
         han, latin = (a, b) if a.kind == "hp" else (b, a)
         if len(latin.tokens) != 2 or len(han.codes) < 2:
             return ""
-        if tuple(sorted((han.surname, han.given))) == latin.tokens:
-            return "strong"
-        return ""
+        return "strong" if jaro_winkler(" ".join(sorted((han.surname, han.given))), " ".join(latin.tokens)) >= SAME_READINGS else ""
     if a.kind == "hp":
-        return "strong" if len(a.codes) > 1 and a.tokens == b.tokens else ""
+        return "strong" if len(a.codes) > 1 and jaro_winkler(" ".join(a.tokens), " ".join(b.tokens)) >= SAME_READINGS else ""
     if len(a.tokens) != 2 or len(b.tokens) != 2:
         return "strong" if a.tokens and a.tokens == b.tokens else ""
     if a.tokens == b.tokens:
@@ -399,8 +407,7 @@ def _one_slip(a: Name, b: Name) -> bool:
     x, y = a.codes, b.codes
     if x == y:
         return all(c == d or c not in LEVELS or d not in LEVELS for c, d in zip(a.han, b.han))
-    d = edits(x, y, 1)
-    if d > 1 or min(len(x), len(y)) < 5:
+    if slips(x, y) > 1 or min(len(x), len(y)) < 5:
         return False
     k = 0
     while k < min(len(x), len(y)) and x[k] == y[k]:
@@ -413,20 +420,20 @@ def _one_slip(a: Name, b: Name) -> bool:
     return len(x) == len(y) or not (changed & set(LEVELS))
 
 
-def _short_unit(rest: tuple[str, ...], unit: tuple[str, ...], slips: int) -> bool:
-    """Whether ``rest`` leaves out signs of ``unit``, with at most ``slips`` signs wrong."""
+def _short_unit(rest: tuple[str, ...], unit: tuple[str, ...], allowed: int) -> bool:
+    """Whether ``rest`` leaves out signs of ``unit``, with at most ``allowed`` signs wrong."""
     inside = any(unit[k : k + len(rest)] == rest for k in range(len(unit) - len(rest) + 1))
     if len(rest) < 2 or rest[-1] != unit[-1] and rest[0] != unit[0] and not inside:
         return False
     if _subsequence(rest, unit):
         return True
-    if not slips or len(rest) < 3:
+    if not allowed or len(rest) < 3:
         return False
     swapped = any(_subsequence(rest[:k] + (rest[k + 1], rest[k]) + rest[k + 2 :], unit) for k in range(len(rest) - 1))
     doubled = any(rest[k] == rest[k + 1] and _subsequence(rest[:k] + rest[k + 1 :], unit) for k in range(len(rest) - 1))
     if swapped or doubled or len(rest) < 4:
         return swapped or doubled
-    return edits(rest, unit, 1) <= 1 or any(_subsequence(rest[:k] + rest[k + 1 :], unit) for k in range(len(rest)))
+    return slips(rest, unit) <= 1 or any(_subsequence(rest[:k] + rest[k + 1 :], unit) for k in range(len(rest)))
 
 
 def _short_for(short: Name, full: Name, slips_allowed: int) -> bool:
@@ -443,17 +450,17 @@ def _short_for(short: Name, full: Name, slips_allowed: int) -> bool:
     for head in (place + level, place, place[:1] + level):
         whole = head is not place and len(head) > len(place)
         for n in (len(head), len(head) - 1, len(head) + 1) if len(head) > 2 else (len(head),):
-            slips = edits(short.codes[:n], head, 1)
-            if slips > min(slips_allowed, len(head) > 2) or n > len(short.codes) - 2:
+            wrong = slips(short.codes[:n], head)
+            if wrong > min(slips_allowed, len(head) > 2) or n > len(short.codes) - 2:
                 continue
             if head == place:
                 if short.han[n] in LEVELS and short.codes[n] != full.unit[0] or n > len(head) and short.han[n - 1] in LEVELS:
                     continue
             elif short.han[n - 1] != full.level:
                 continue
-            if whole and slips and short.codes[n - 1] != level[0]:
+            if whole and wrong and short.codes[n - 1] != level[0]:
                 continue
-            if _short_unit(short.codes[n:], full.unit, slips_allowed - slips):
+            if _short_unit(short.codes[n:], full.unit, slips_allowed - wrong):
                 return True
     return False
 
@@ -466,10 +473,12 @@ def _bodies(a: Name, b: Name) -> str:
             return ""
         if _one_slip(a, b):
             return "strong"
-        for slips, verdict in ((0, "weak"), (1, "faint")):
-            if _short_for(a, b, slips):
+        if jaro_winkler(a.codes, b.codes) < SHORT_FORM:
+            return ""
+        for allowed, verdict in ((0, "weak"), (1, "faint")):
+            if _short_for(a, b, allowed):
                 return verdict
-            if _short_for(b, a, slips):
+            if _short_for(b, a, allowed):
                 return verdict + "<"
         return ""
     if a.numbers != b.numbers:
@@ -484,15 +493,15 @@ def _bodies(a: Name, b: Name) -> str:
         return ""
     if len(a.unit) != len(b.unit) or not a.unit or bool(a.place) != bool(b.place):
         return ""
-    slips = _close(a.place, b.place, 2) if a.place else 0
+    wrong = _close(a.place, b.place, 2) if a.place else 0
     for x, y in zip(a.unit, b.unit):
         if x == y:
             continue
         s, l = sorted((x, y), key=len)
         if len(s) < len(l) and s[0] == l[0] and len(s) <= 6 and _subsequence(s, l) and len(l) - len(s) >= 2:
             continue
-        slips += _close(x, y, 2)
-    if slips > 2 or (slips == 2 and not a.place):
+        wrong += _close(x, y, 2)
+    if wrong > 2 or (wrong == 2 and not a.place):
         return ""
     if a.level and b.level or not a.level and not b.level:
         return "strong"
