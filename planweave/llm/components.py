@@ -14,17 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from planweave.operators.skew import lookup
-from planweave.session import cut
+from planweave.session import cut, cut_measured
 
 
-def _signature(clusters: DataFrame) -> tuple[int, int, int]:
+def _signature() -> list:
+    """Aggregates that tell one set of clusters from another."""
     hashed = F.xxhash64("v", "u")
-    row = clusters.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.shiftrightunsigned(hashed, 33)).alias("high"),
-        F.sum(hashed.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low"),
-    ).first()
-    return row["n"], row["high"] or 0, row["low"] or 0
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(hashed, 33)).alias("high"), F.sum(hashed.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low")]
 
 
 def connected_groups(pairs: DataFrame, left: str, right: str, max_rounds: int = 200) -> DataFrame:
@@ -39,19 +35,18 @@ def connected_groups(pairs: DataFrame, left: str, right: str, max_rounds: int =
     edges = cut(edges)
     alone = edges.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("u"))
     linked = edges.where("a < b")
-    clusters = cut(linked.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(linked.select(F.col("b").alias("v"), F.col("a").alias("u"))))
-    before = _signature(clusters)
+    clusters, before = cut_measured(linked.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(linked.select(F.col("b").alias("v"), F.col("a").alias("u"))), *_signature())
     for _ in range(max_rounds):
         least = clusters.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
         most = least.agg(F.max("n")).first()[0] or 0
-        sent = lookup(clusters, least, "v", "n", before[0], most)
+        sent = lookup(clusters, least, "v", "n", before["n"] or 0, most)
         members = sent.where("u <> m").select("m", F.col("u").alias("w"))
         selves = least.where("v <> m").select("m", F.col("v").alias("w"))
         stars = members.unionByName(selves).distinct()
-        clusters_next = cut(stars.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("w").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u")))).alias("s")).select("s.*").distinct())
+        # m is less than w in every row, so the rows and their reverses are all different
+        both = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("w").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u"))))
+        clusters, after = cut_measured(stars.select(both.alias("s")).select("s.*"), *_signature())
         least.unpersist()
-        after = _signature(clusters_next)
-        clusters = clusters_next
         if after == before:
             break
         before = after
