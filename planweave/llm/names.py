@@ -1,8 +1,8 @@
 """Problem 2: variant spellings of names typed by people.
 
 Each distinct spelling of a document is parsed into tokens with phonetic codes (Han characters by their readings,
-Latin words by Soundex), blocked by phonetic codes of its sorted tokens, and compared only inside blocks, with
-Jaro-Winkler, edits of single signs and a table of nicknames and titles. Accepted pairs, and the aliases that
+Latin words by Soundex), blocked by phonetic codes of its sorted tokens, and compared only inside blocks: Jaro-Winkler
+over readings and letters decides, beside tables of nicknames, titles, levels and ranks. Accepted pairs, and the aliases that
 canonical records give, are clustered by connected components. Short forms that could stand for several bodies or
 persons (initials, a surname with a title, a body without its level) join a cluster only when the document holds
 exactly one that they fit.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -271,16 +272,19 @@ class Name:
 
     def _han_body_keys(self) -> list[str]:
         c = self.codes
-        own = ["s^" + " ".join(sorted(c[:3])), "s$" + " ".join(sorted(c[-4:]))]
-        if len(c) < 7:  # both keys above may hold the sign where two short bodies differ
-            own.append("s|" + c[0] + " " + c[-1])
-        ends = [c[0] + " " + c[-1]]
-        for k in range(1, min(6, len(c))):
-            if self.han[k] in LEVELS:
-                ends += [c[0] + self.han[k], c[k - 1] + "/" + self.han[k]]
-        ends.append(" ".join(sorted(c[:3])))
+        tokens = sorted(c)
+        # all sorted codes, and all but each one: two bodies a slip apart share such a set, and hardly any others do
+        own = ["s" + _digest(tokens)] + ["s" + _digest(tokens[:k] + tokens[k + 1 :]) for k in range(len(c)) if len(c) >= 5]
         full = bool(self.level) and len(self.unit) >= 3 or len(c) >= 8
-        return own + [side + "b" + x for x in ends for side in ("p", "f") if side == "p" or full]
+        ends = {c[0] + " " + c[-1], " ".join(sorted(c[:3]))}
+        known = set(ends)
+        for k in range(1, min(6, len(c) - 1)):
+            if self.han[k] in LEVELS:
+                # a short form keeps the first sign of the unit, or the last, or begins with one from within
+                for head in (f"{c[0]}{self.han[k]}", f"{c[k - 1]}/{self.han[k]}"):
+                    ends |= {f"{head}>{c[k + 1]}", f"{head}<{c[-1]}"}
+                    known |= {f"{head}>{x}" for x in c[k + 1 :]} | {f"{head}<{c[-1]}"}
+        return own + ["pb" + x for x in sorted(ends)] + ["fb" + x for x in sorted(known) if full]
 
     def _latin_body_keys(self) -> list[str]:
         if self.partial == "acronym":
@@ -312,6 +316,11 @@ class Name:
         return own
 
 
+def _digest(codes: list[str]) -> str:
+    """A short name for a list of codes; two lists of one name cost only a comparison."""
+    return blake2b(" ".join(codes).encode(), digest_size=8).hexdigest()
+
+
 def _ends(word: str) -> list[str]:
     """First and last letters of a Latin word, so that two words that differ in one slip share some: of up to four letters also one by one."""
     return ["^" + word[:2], "$" + word[-2:]] + (["^" + word[:1], "$" + word[-1:]] if len(word) < 5 else [])
@@ -409,6 +418,9 @@ def _one_slip(a: Name, b: Name) -> bool:
         return all(c == d or c not in LEVELS or d not in LEVELS for c, d in zip(a.han, b.han))
     if slips(x, y) > 1 or min(len(x), len(y)) < 5:
         return False
+    levels = [[c for c in n.han if c in LEVELS] for n in (a, b)]
+    if levels[0] != levels[1] and len(levels[0]) == len(levels[1]):
+        return False
     k = 0
     while k < min(len(x), len(y)) and x[k] == y[k]:
         k += 1
@@ -521,6 +533,12 @@ def parse(form: str, person: bool) -> Name:
     return Name(form, person)
 
 
+@lru_cache(100_000)
+def judged(a: str, b: str, person: bool) -> str:
+    """The verdict on two spellings, remembered, as the same two come in many documents."""
+    return compare(parse(a, person), parse(b, person))
+
+
 def spellings(rows: DataFrame, name: str) -> DataFrame:
     """Adds ``form``, the spelling without what a reader cannot see."""
 
@@ -560,17 +578,20 @@ def links(forms: DataFrame, table) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use_readings(table.value)
         for batch in batches:
-            verdict = [compare(parse(x, t == PERSON), parse(y, t == PERSON)) for x, y, t in zip(batch["form_a"], batch["form_b"], batch["entity_type"])]
+            verdict = [judged(x, y, p) for x, y, p in zip(batch["form_a"], batch["form_b"], batch["person"])]
             out = batch[["a", "b"]].assign(verdict=verdict)
             yield out[out["verdict"] != ""]
 
     blocked = forms.mapInPandas(block, "document_id string, entity_type string, form string, node long, keys array<string>")
     by_key = blocked.select("document_id", "entity_type", "form", "node", F.explode("keys").alias("k"))
-    keyed = cut(by_key.select("document_id", "entity_type", "form", "node", F.substring("k", 1, 1).alias("side"), F.expr("substring(k, 2)").alias("key")))
-    left = keyed.where("side <> 'f'").select("document_id", "entity_type", "key", F.col("side").alias("side_a"), F.col("form").alias("form_a"), F.col("node").alias("a"))
-    right = keyed.where("side <> 'p'").select("document_id", "entity_type", "key", F.col("side").alias("side_b"), F.col("form").alias("form_b"), F.col("node").alias("b"))
-    met = left.join(right, ["document_id", "entity_type", "key"]).where("side_a = 's' and side_b = 's' and form_a < form_b or side_a = 'p' and side_b = 'f' and form_a <> form_b")
-    pairs = met.select("entity_type", F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"), F.when(F.col("form_a") < F.col("form_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("form_a") < F.col("form_b"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+    # a block is named by two hashes, 128 bits, instead of the document's and the key's own strings
+    name = [F.xxhash64("document_id", "entity_type", F.expr("substring(k, 2)")).alias("block"), F.xxhash64(F.expr("substring(k, 2)"), "document_id").alias("check")]
+    keyed = cut(by_key.select(*name, (F.col("entity_type") == PERSON).alias("person"), "form", "node", F.substring("k", 1, 1).alias("side")))
+    left = keyed.where("side <> 'f'").select("block", "check", "person", F.col("side").alias("side_a"), F.col("form").alias("form_a"), F.col("node").alias("a"))
+    right = keyed.where("side <> 'p'").select("block", "check", F.col("side").alias("side_b"), F.col("form").alias("form_b"), F.col("node").alias("b"))
+    met = left.join(right, ["block", "check"]).where("side_a = 's' and side_b = 's' and form_a < form_b or side_a = 'p' and side_b = 'f' and form_a <> form_b")
+    turned = F.col("form_a") > F.col("form_b")
+    pairs = met.select("person", F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")).dropDuplicates(["a", "b"])
     return pairs.mapInPandas(judge, "a long, b long, verdict string")
 
 

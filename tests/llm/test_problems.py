@@ -114,6 +114,34 @@ def test_short_bodies_with_a_slip_in_the_third_sign(spark):
     assert linked(spark, [("临河县民政局", ORG), ("临河山民政局", ORG)]) == {tuple(sorted(("临河县民政局", "临河山民政局")))}
 
 
+def test_jaro_winkler_decides(spark, monkeypatch):
+    """With another similarity other names are the same, in Han as in Latin letters."""
+    names.use_readings(names.readings(spark))
+    near = [("临河湾县交通运输局", "临河湾县交通运输居", ORG), ("临河湾县交通运输局", "临河湾县交通输运局", ORG), ("彭志鹏", "彭致鹏", PER), ("Margaret Oakley", "Matgaret Oakley", PER), ("Oakmere District Water Supply Authority", "Oakmere Disttict Water Suply Authority", ORG)]
+    far = [("临河湾县交通运输局", "临河湾县民政救助局", ORG), ("彭志鹏", "彭志强", PER), ("Margaret Oakley", "Martha Oakden", PER), ("Oakmere District Water Supply Authority", "Oakmere District Mine Rescue Unit", ORG)]
+
+    def verdicts(rows):
+        return [names.compare(names.Name(a, t == PER), names.Name(b, t == PER)) for a, b, t in rows]
+
+    assert verdicts(near) == ["strong"] * 5 and verdicts(far) == [""] * 4
+    real = names.jaro_winkler
+    monkeypatch.setattr(names, "jaro_winkler", lambda a, b: real(a, b) if a == b else 0.0)
+    assert verdicts(near)[1:2] + verdicts(near)[3:] == [""] * 3
+    monkeypatch.setattr(names, "jaro_winkler", lambda a, b: 1.0)
+    assert all(verdicts(far)[k] == "strong" for k in (0, 1, 2))
+
+
+def test_bodies_a_slip_apart_share_a_block(spark):
+    names.use_readings(names.readings(spark))
+    rnd = random.Random(8)
+    whole = "临河湾县交通运输局"
+    for _ in range(200):
+        k, c = rnd.randrange(len(whole)), rnd.choice("水火山木石")
+        slipped = rnd.choice([whole[:k] + c + whole[k + 1 :], whole[:k] + c + whole[k:], whole[:k] + whole[k + 1 :], whole[:k] + whole[k + 1 : k + 2] + whole[k] + whole[k + 2 :]])
+        keys = [{x for x in names.Name(n, False).keys() if x[0] == "s"} for n in (whole, slipped)]
+        assert keys[0] & keys[1], slipped
+
+
 def test_ambiguous_short_form_joins_nobody(spark):
     assert linked(spark, [("王小明", PER), ("王大海", PER), ("老王", PER)]) == set()
 
