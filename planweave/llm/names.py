@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,12 +96,18 @@ def jaro_winkler(a, b) -> float:
     return 1.0 if a == b else max(_jaro_winkler(a, b), _jaro_winkler(b, a))
 
 
+@lru_cache(None)
+def _offsets(reach: int, right: bool) -> tuple[int, ...]:
+    return (0, *(x for d in range(1, reach + 1) for x in ((d, -d) if right else (-d, d))))
+
+
 def _jaro_winkler(a, b) -> float:
-    reach = max(1, max(len(a), len(b)) // 2 - 1)
-    used, first = [False] * len(b), []
+    offsets = _offsets(max(1, max(len(a), len(b)) // 2 - 1), len(b) > len(a))
+    used, first, n = [False] * len(b), [], len(b)
     for i, c in enumerate(a):
-        for j in sorted(range(max(0, i - reach), min(len(b), i + reach + 1)), key=lambda j: (abs(i - j), (j < i) == (len(b) > len(a)))):
-            if not used[j] and b[j] == c:
+        for d in offsets:
+            j = i + d
+            if 0 <= j < n and not used[j] and b[j] == c:
                 used[j] = True
                 first.append(c)
                 break
@@ -132,6 +138,8 @@ def slips(a, b, most: int = 1) -> int:
     n, apart = max(len(a), len(b)), abs(len(a) - len(b))
     if apart >= (3 if most > 1 else 2):
         return most + 1
+    if sum(x in b for x in a) < n - most - apart * (len(a) < len(b)):
+        return most + 1  # so few elements in common that the similarity is below every bound
     lost = (1 - jaro_winkler(a, b)) * n - 1e-9
     if lost <= ONE_SLIP.get(apart, 0):
         return 1
@@ -318,7 +326,7 @@ class Name:
 
 def _digest(codes: list[str]) -> str:
     """A short name for a list of codes; two lists of one name cost only a comparison."""
-    return blake2b(" ".join(codes).encode(), digest_size=8).hexdigest()
+    return str(crc32(" ".join(codes).encode()))
 
 
 def _ends(word: str) -> list[str]:
@@ -586,13 +594,14 @@ def links(forms: DataFrame, table) -> DataFrame:
     by_key = blocked.select("document_id", "entity_type", "form", "node", F.explode("keys").alias("k"))
     # a block is named by two hashes, 128 bits, instead of the document's and the key's own strings
     name = [F.xxhash64("document_id", "entity_type", F.expr("substring(k, 2)")).alias("block"), F.xxhash64(F.expr("substring(k, 2)"), "document_id").alias("check")]
-    keyed = cut(by_key.select(*name, (F.col("entity_type") == PERSON).alias("person"), "form", "node", F.substring("k", 1, 1).alias("side")))
-    left = keyed.where("side <> 'f'").select("block", "check", "person", F.col("side").alias("side_a"), F.col("form").alias("form_a"), F.col("node").alias("a"))
-    right = keyed.where("side <> 'p'").select("block", "check", F.col("side").alias("side_b"), F.col("form").alias("form_b"), F.col("node").alias("b"))
-    met = left.join(right, ["block", "check"]).where("side_a = 's' and side_b = 's' and form_a < form_b or side_a = 'p' and side_b = 'f' and form_a <> form_b")
-    turned = F.col("form_a") > F.col("form_b")
-    pairs = met.select("person", F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")).dropDuplicates(["a", "b"])
-    return pairs.mapInPandas(judge, "a long, b long, verdict string")
+    keyed = cut(by_key.select(*name, "node", F.substring("k", 1, 1).alias("side")))
+    left = keyed.where("side <> 'f'").select("block", "check", F.col("side").alias("side_a"), F.col("node").alias("a"))
+    right = keyed.where("side <> 'p'").select("block", "check", F.col("side").alias("side_b"), F.col("node").alias("b"))
+    met = left.join(right, ["block", "check"]).where("side_a = 's' and side_b = 's' and a < b or side_a = 'p' and side_b = 'f' and a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    spelt = forms.select("node", "form", (F.col("entity_type") == PERSON).alias("person"))
+    whole = pairs.join(spelt.select(F.col("node").alias("a"), F.col("form").alias("form_a"), "person"), "a").join(spelt.select(F.col("node").alias("b"), F.col("form").alias("form_b")), "b")
+    return whole.mapInPandas(judge, "a long, b long, verdict string")
 
 
 def clusters(entities: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
