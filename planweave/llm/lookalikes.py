@@ -2,9 +2,11 @@
 
 ``appearance`` folds, character by character and by a rule over the Unicode data, everything that looks the same:
 widths of signs and blanks, invisible characters, compatibility forms and composed or decomposed accents. Raised and
-circled signs, letter case and accents stay. Look-alike letters of other alphabets are handled token by token: a
-token's spellings in other alphabets share one Latin image, and the whole corpus decides which spelling that image
-takes, so a real foreign word stays foreign while a mixed-script token is repaired to the spelling the corpus uses.
+circled signs, letter case and accents stay. Look-alike letters of other alphabets are repaired token by token: in a
+token of several scripts they become letters of its dominant script, if the corpus holds the token so written in one
+script, else of the next script for which it does; tokens of one script, and mixed ones whose repair the corpus does
+not hold, stay as they are. Such a token may still look like another, so a string also has a ``look``, its form with
+every look-alike letter as the Latin one: strings look the same if and only if their looks are equal.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planweave.session import cut
+
 #: Letters of the Cyrillic and Greek alphabets that look like a Latin letter, and that letter.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХӀҮԚԜаеоросухѕіјһԁԛԝүѵ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXIYQWaeopocyxsijhdqwyv"
@@ -33,7 +37,7 @@ _LETTERS = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯḀ-ỿ]+")
 
 def _decomposed(c: str) -> str:
     parts = unicodedata.decomposition(c).split()
-    if not parts or parts[0] in _KEPT or c == "ſ":
+    if not parts or parts[0] in _KEPT or c in "ſϲϹ":  # the last two are read as sigma but look like c
         return c
     if parts[0][0] == "<":
         parts = parts[1:]
@@ -85,59 +89,79 @@ def tokens(text: str) -> list[str]:
     return _LETTERS.findall(text)
 
 
+SCRIPTS = ("latin", "cyrillic", "greek")
+#: What each letter turns into in the other script; letters that look like none of it are missing.
+_INTO = {
+    "latin": LATIN_IMAGE,
+    "cyrillic": {ord(b): a for a, b in zip(CYRILLIC, CYRILLIC_AS)} | {ord(g): CYRILLIC[CYRILLIC_AS.index(b)] for g, b in zip(GREEK, GREEK_AS) if b in CYRILLIC_AS},
+    "greek": {ord(b): a for a, b in zip(GREEK, GREEK_AS)} | {ord(c): GREEK[GREEK_AS.index(b)] for c, b in zip(CYRILLIC, CYRILLIC_AS) if b in GREEK_AS},
+}
+
+
+def _script(o: int) -> str:
+    return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin"
+
+
 def script(token: str) -> str:
     """``latin``, ``greek`` or ``cyrillic`` when all letters are of one script, else ``mixed``."""
-    seen = {"greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" for o in map(ord, token) if not 0x300 <= o < 0x370}
+    seen = {_script(o) for o in map(ord, token) if not 0x300 <= o < 0x370}
     return seen.pop() if len(seen) == 1 else "mixed"
 
 
+def repairs(token: str) -> list[str]:
+    """Spellings of a mixed token in one script, that of the dominant script first: it has the most letters that look like no other script's, then the most letters."""
+    letters = [o for o in map(ord, token) if not 0x300 <= o < 0x370]
+    own = {c: [o for o in letters if _script(o) == c] for c in SCRIPTS}
+    sure = {c: sum(all(o not in _INTO[other] for other in SCRIPTS if other != c) for o in own[c]) for c in SCRIPTS}
+    order = sorted((c for c in SCRIPTS if own[c]), key=lambda c: (-sure[c], -len(own[c]), SCRIPTS.index(c)))
+    written = [unicodedata.normalize("NFC", "".join(x if _script(ord(x)) == c else _INTO[c].get(ord(x), x) for x in token)) for c in order]
+    return [w for w, c in zip(written, order) if script(w) == c]
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         forms = [appearance(s) for s in batch["s"]]
-        images = [image(f) for f in forms]
-        marked = [[{"token": t, "image": image(t), "script": script(t)} for t in tokens(f)] for f in forms]
-        yield pd.DataFrame({"s": batch["s"], "n": batch["n"], "base": forms, "image": images, "tokens": marked})
+        found = [tokens(f) for f in forms]
+        mixed = [[{"token": t, "repairs": repairs(t)} for t in dict.fromkeys(ts) if script(t) == "mixed"] for ts in found]
+        plain = [[t for t in dict.fromkeys(ts) if script(t) != "mixed"] for ts in found]
+        yield pd.DataFrame({"s": batch["s"], "base": forms, "plain": plain, "mixed": mixed})
 
 
 def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for base, chosen in zip(batch["base"], batch["chosen"]):
-            by_place = iter(sorted((c["pos"], c["spelling"]) for c in chosen))
-            out.append(_LETTERS.sub(lambda m: next(by_place)[1], base))
-        yield pd.DataFrame({"s": batch["s"], "form": out})
+            known = {c["token"]: c["spelling"] for c in chosen}
+            out.append(_LETTERS.sub(lambda m: known.get(m[0], m[0]), base))
+        yield pd.DataFrame({"s": batch["s"], "form": out, "look": [image(f) for f in out]})
 
 
-def spellings(described: DataFrame) -> DataFrame:
-    """``(image, spelling)`` for each Latin image that a token with look-alike letters has.
+def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"s": batch["s"], "form": batch["base"], "look": [image(f) for f in batch["base"]]})
 
-    ``n`` of a row of ``described`` is how many rows hold its string. The spelling is the all-Latin one if the corpus holds it; else the most frequent spelling in one other
-    script (of equally frequent ones the first in order); else, with mixed tokens only, the image.
-    """
-    vocabulary = described.select("n", F.explode("tokens").alias("t")).groupBy("t.token", "t.image", "t.script").agg(F.sum("n").alias("n"))
-    suspect = vocabulary.where("token <> image").select("image").distinct()
-    of_image = vocabulary.join(suspect, "image", "left_semi").groupBy("image").agg(
-        F.max(F.col("script") == "latin").alias("latin"),
-        F.min(F.when(F.col("script").isin("greek", "cyrillic"), F.struct(-F.col("n"), F.col("token").alias("token")))).alias("foreign"),
-    )
-    return of_image.select("image", F.when(F.col("latin") | F.col("foreign").isNull(), F.col("image")).otherwise(F.col("foreign.token")).alias("spelling"))
+
+def spellings(described: DataFrame) -> DataFrame:
+    """``(token, spelling)`` for each mixed token that has a repair which a token of one script in the corpus equals; the first such repair counts."""
+    vocabulary = described.select(F.explode("plain").alias("w")).distinct()
+    wanted = described.select(F.explode("mixed").alias("t")).select("t.token", F.posexplode("t.repairs").alias("rank", "w")).distinct()
+    held = wanted.join(vocabulary, "w", "left_semi")
+    return held.groupBy("token").agg(F.min(F.struct("rank", "w")).alias("best")).select("token", F.col("best.w").alias("spelling"))
 
 
 def forms(strings: DataFrame, column: str) -> DataFrame:
-    """``(s, form)``, one row per distinct non-null string of ``column``.
+    """``(s, form, look)``, one row per distinct non-null string of ``column``.
 
-    Strings with equal forms look the same and strings that look different have different forms. Null has no
-    form; a blank string has the form ''. Other columns are ignored.
+    ``form`` is the repaired string. Strings with equal looks look the same and strings that look different have
+    different looks and forms. Null has no form; a blank string has the form ''. Other columns are ignored.
     """
-    distinct = strings.select(F.col(column).alias("s")).where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    described = distinct.mapInPandas(_describe, "s string, n long, base string, image string, tokens array<struct<token:string,image:string,script:string>>")
-    chosen = spellings(described)
-    plain = described.where("base = image").select("s", F.col("base").alias("form"))
-    spread = described.where("base <> image").select("s", "base", F.posexplode("tokens").alias("pos", "t"))
-    placed = spread.join(chosen, spread["t.image"] == chosen["image"], "left")
-    picked = placed.select("s", "base", F.struct("pos", F.coalesce("spelling", "t.token").alias("spelling")).alias("c"))
-    mixed = picked.groupBy("s", "base").agg(F.collect_list("c").alias("chosen"))
-    return plain.unionByName(mixed.mapInPandas(_assemble, "s string, form string"))
+    distinct = strings.select(F.col(column).alias("s")).where("s is not null").distinct()
+    described = cut(distinct.mapInPandas(_describe, "s string, base string, plain array<string>, mixed array<struct<token:string,repairs:array<string>>>"))
+    made = "s string, form string, look string"
+    plain = described.where(F.size("mixed") == 0).select("s", "base").mapInPandas(_plain, made)
+    spread = described.where(F.size("mixed") > 0).select("s", "base", F.explode("mixed.token").alias("token"))
+    placed = spread.join(spellings(described), "token", "left").select("s", "base", F.struct("token", F.coalesce("spelling", "token").alias("spelling")).alias("c"))
+    return plain.unionByName(placed.groupBy("s", "base").agg(F.collect_list("c").alias("chosen")).mapInPandas(_assemble, made))
 
 
 def named(entities: DataFrame) -> DataFrame:
@@ -150,11 +174,27 @@ def mentioned(relations: DataFrame) -> DataFrame:
 
 
 def field_forms(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """``(kind, id, field, form)`` of every name, subject and object; null fields have a null form."""
+    """``(kind, id, field, form, look)`` of every name, subject and object; null fields have a null form and look."""
     e = entities.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.lit("name").alias("field"), F.col("name").alias("s"))
     r = relations.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"), F.explode(F.array(F.struct(F.lit("subject").alias("field"), F.col("subject").alias("s")), F.struct(F.lit("object").alias("field"), F.col("object").alias("s")))).alias("x")).select("kind", "id", "x.field", "x.s")
     fields = e.unionByName(r).distinct()
-    return fields.join(forms(fields, "s"), "s", "left").select("kind", "id", "field", "form")
+    return fields.join(forms(fields, "s"), "s", "left").select("kind", "id", "field", "form", "look")
+
+
+def alike(in_names: DataFrame, in_sides: DataFrame) -> DataFrame:
+    """``(document_id, name, said, by)``: other strings of one document that look the same.
+
+    ``by`` is 'form' where the repaired forms are equal, and 'look' where a string holds tokens that no repair
+    applies to, such as one wholly in look-alike letters.
+    """
+    left, right = in_names.withColumnRenamed("s", "name"), in_sides.withColumnRenamed("s", "said")
+    by_form = left.drop("look").join(right.drop("look"), ["document_id", "form"]).where("name <> said").select("document_id", "name", "said", F.lit("form").alias("by"))
+    unlike = F.col("form_a") != F.col("form_b")
+    left, right = left.withColumnRenamed("form", "form_a"), right.withColumnRenamed("form", "form_b")
+    opened = left.where("form_a <> look").join(right, ["document_id", "look"]).where(unlike)
+    others = left.where("form_a = look").join(right.where("form_b <> look"), ["document_id", "look"]).where(unlike)
+    by_look = opened.unionByName(others).select("document_id", "name", "said", F.lit("look").alias("by"))
+    return by_form.unionByName(by_look)
 
 
 def found(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -164,9 +204,9 @@ def found(entities: DataFrame, relations: DataFrame) -> DataFrame:
     spread over the rows that hold them. Null and empty strings, and blank ones, are no cases.
     """
     names, sides = named(entities), mentioned(relations)
-    form_of = forms(names.select("s").unionByName(sides.select("s")), "s").where("form <> ''")
+    form_of = cut(forms(names.select("s").unionByName(sides.select("s")), "s").where("form <> ''"))
     in_names = names.select("document_id", "s").distinct().join(form_of, "s")
     in_sides = sides.select("document_id", "s").distinct().join(form_of, "s")
-    pairs = in_names.withColumnRenamed("s", "name").join(in_sides.withColumnRenamed("s", "said"), ["document_id", "form"]).where("name <> said").drop("form")
+    pairs = alike(in_names, in_sides)
     with_names = pairs.join(names.withColumnRenamed("s", "name"), ["document_id", "name"]).select("document_id", "said", "entity_id")
     return with_names.join(sides.withColumnRenamed("s", "said"), ["document_id", "said"]).select("entity_id", "relation_id", "side").distinct()

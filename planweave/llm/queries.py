@@ -11,20 +11,19 @@ from planweave.llm import components, copies, encode, lookalikes, moderation, na
 from planweave.session import table
 
 
-def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(table(spark, sf_dir, "alias_map"), "alias_id", "canonical_id")
 
 
-def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, group_id)`` of every canonical record, and of ids that only alias_map has; a record without a usable match is a group of its own."""
-    groups = p1_groups(spark, sf_dir)
+    groups = _matched(spark, sf_dir)
     records = table(spark, sf_dir, "canonical_entities").select(F.col("canon_id").cast("long").alias("id")).where("id is not null").distinct()
     return groups.unionByName(records.join(groups, "id", "left_anti").withColumn("group_id", F.col("id")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = p1_groups(spark, sf_dir)
-    return groups.where("id <> group_id").select("group_id", F.col("id").alias("canon_id"))
+    return _matched(spark, sf_dir).where("id <> group_id").select("group_id", F.col("id").alias("canon_id"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_groups, p1_records, p1_found, p2_groups, p2_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers, p8_scores, p8_rates, p8_found)
+    f.__name__: f for f in (p1_groups, p1_found, p2_groups, p2_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers, p8_scores, p8_rates, p8_found)
 }
 
 _GROUPS = """
@@ -117,8 +116,7 @@ g AS (SELECT n, t, min(record_id) AS keep_id, count(DISTINCT record_id) AS copie
 """
 
 ORACLE: dict[str, str] = {
-    "p1_groups": _GROUPS + "SELECT id, group_id FROM g",
-    "p1_records": _GROUPS + "SELECT id, group_id FROM g UNION SELECT canon_id, canon_id FROM canonical_entities WHERE canon_id IS NOT NULL AND canon_id NOT IN (SELECT id FROM g)",
+    "p1_groups": _GROUPS + "SELECT id, group_id FROM g UNION SELECT canon_id, canon_id FROM canonical_entities WHERE canon_id IS NOT NULL AND canon_id NOT IN (SELECT id FROM g)",
     "p1_found": _GROUPS + "SELECT group_id, id AS canon_id FROM g WHERE id <> group_id",
     "p3_found": f"SELECT DISTINCT item_kind, item_id FROM ({_ITEMS}) WHERE length(text) > 1000",
     "p4_collapsed": _COPIES + "SELECT keep_id, copies FROM g",

@@ -56,10 +56,10 @@ def test_groups_of_nothing_and_nulls(spark):
 
 
 def test_every_record_has_one_group(spark, small):
-    rows = [tuple(r) for r in queries.p1_records(spark, small).collect()]
+    rows = [tuple(r) for r in queries.p1_groups(spark, small).collect()]
     group = dict(rows)
     records = {r.canon_id for r in table(spark, small, "canonical_entities").collect()}
-    matched = dict(tuple(r) for r in queries.p1_groups(spark, small).collect())
+    matched = dict(tuple(r) for r in components.connected_groups(table(spark, small, "alias_map"), "alias_id", "canonical_id").collect())
     assert len(rows) == len(group) and set(group) == records | set(matched) and records - set(matched)
     assert all(group[i] == matched.get(i, i) for i in group)
 
@@ -263,6 +263,23 @@ def test_vocabulary_counts_rows(spark):
     assert got["роp"] == got["рор"] == "рор"
 
 
+def test_only_mixed_tokens_with_a_known_repair_change(spark):
+    rows = [("сор",), ("cop",), ("Аbzq",), ("Кate",), ("Kate",), ("дoм",), ("дом",), ("ABC站",), ("АBC站",), ("дoр",)]
+    got = {r.s: (r.form, r.look) for r in lookalikes.forms(spark.createDataFrame(rows, "s string"), "s").collect()}
+    assert got["сор"] == ("сор", "cop") and got["cop"] == ("cop", "cop")
+    assert got["Аbzq"] == ("Аbzq", "Abzq") and got["Кate"] == ("Kate", "Kate")
+    assert got["дoм"][0] == "дом" and got["дoр"][0] == "дoр" and got["АBC站"][0] == "ABC站"
+    assert lookalikes.repairs("дoр") == ["дор"] and lookalikes.repairs("Аbzq") == ["Abzq"] and lookalikes.repairs("соp")[0] == "сор"
+
+
+def test_unrepaired_tokens_meet_by_look(spark):
+    names = spark.createDataFrame([("d", "cop"), ("d", "Kate"), ("e", "cop")], "document_id string, s string")
+    sides = spark.createDataFrame([("d", "сор"), ("d", "Кate"), ("d", "ϲор")], "document_id string, s string")
+    form_of = lookalikes.forms(names.select("s").unionByName(sides.select("s")), "s")
+    got = {tuple(r) for r in lookalikes.alike(names.join(form_of, "s"), sides.join(form_of, "s")).collect()}
+    assert got == {("d", "cop", "сор", "look"), ("d", "Kate", "Кate", "form"), ("d", "cop", "ϲор", "look")}
+
+
 def test_found_looks_alike(spark):
     e = spark.createDataFrame([(1, "d", "Kate", "x"), (1, "d", "Kate", "y"), (2, "d", "", "x"), (3, "d", None, "x"), (4, None, "Kate", "x"), (5, "e", "Каte", "x"), (6, "d", "zone ", "x")], "entity_id long, document_id string, name string, form string")
     r = spark.createDataFrame([(7, "d", "Каte", "Kate"), (7, "d", "Каte", "Kate"), (8, "d", None, "zone"), (9, "d", "Kate​", " ")], "relation_id long, document_id string, subject string, object string")
