@@ -605,7 +605,7 @@ def links(forms: DataFrame, table) -> DataFrame:
 
 
 def clusters(entities: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The named rows with their ``node``, and ``(id, group_id)`` of the nodes that belong to a group of several spellings."""
+    """The named rows with their ``node``, and ``(id, group_id)`` of every spelling's node."""
     spark = entities.sparkSession
     rows = cut(named(entities).withColumn("node", _node()))
     given = cut(aliases(canonical).withColumn("node", _node()))
@@ -617,7 +617,7 @@ def clusters(entities: DataFrame, canonical: DataFrame) -> tuple[DataFrame, Data
     by_alias = given.join(of_record, "canon_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     strong = cut(judged.where("verdict = 'strong'").select("a", "b").unionByName(by_alias))
     firm = connected_groups(strong, "a", "b")
-    group_of = forms.select(F.col("node").alias("id"), F.length("form").alias("n")).join(firm, "id", "left").select("id", F.coalesce("group_id", "id").alias("g"), "n")
+    group_of = cut(forms.select(F.col("node").alias("id"), F.length("form").alias("n")).join(firm, "id", "left").select("id", F.coalesce("group_id", "id").alias("g"), "n"))
     turned = F.col("verdict").endswith("<")
     weak = judged.where("verdict <> 'strong'").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("short"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("full"), F.col("verdict").startswith("faint").cast("int").alias("faint"))
     lifted = weak.join(group_of.select(F.col("id").alias("short"), F.col("g").alias("short_g")), "short").join(group_of.select(F.col("id").alias("full"), F.col("g").alias("full_g")), "full")
@@ -632,8 +632,9 @@ def clusters(entities: DataFrame, canonical: DataFrame) -> tuple[DataFrame, Data
     # the full bodies and persons that a short form fits without a slip go before those it fits with one
     fits = between.join(shorts, "full_g", "left_anti").groupBy("short_g").agg(F.min(F.struct("faint", "full_g")).alias("best"), F.count_if(F.col("faint") == 0).alias("sure"), F.count(F.lit(1)).alias("n"))
     decided = fits.where("sure = 1 or sure = 0 and n = 1").select("short_g", F.col("best.full_g").alias("full_g"))
-    groups = connected_groups(strong.unionByName(decided.select(F.col("short_g").alias("a"), F.col("full_g").alias("b"))), "a", "b")
-    return rows, groups
+    # a full group is nobody's short form, so short groups and the one they join make stars: the components of both together
+    joined = group_of.join(decided, F.col("g") == F.col("short_g"), "left")
+    return rows, joined.select("id", F.coalesce("full_g", "g").alias("group_id"))
 
 
 def groups(entities: DataFrame, canonical: DataFrame) -> DataFrame:
