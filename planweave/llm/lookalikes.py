@@ -187,14 +187,13 @@ def alike(in_names: DataFrame, in_sides: DataFrame) -> DataFrame:
     ``by`` is 'form' where the repaired forms are equal, and 'look' where a string holds tokens that no repair
     applies to, such as one wholly in look-alike letters.
     """
-    left, right = in_names.withColumnRenamed("s", "name"), in_sides.withColumnRenamed("s", "said")
-    by_form = left.drop("look").join(right.drop("look"), ["document_id", "form"]).where("name <> said").select("document_id", "name", "said", F.lit("form").alias("by"))
-    unlike = F.col("form_a") != F.col("form_b")
-    left, right = left.withColumnRenamed("form", "form_a"), right.withColumnRenamed("form", "form_b")
-    opened = left.where("form_a <> look").join(right, ["document_id", "look"]).where(unlike)
-    others = left.where("form_a = look").join(right.where("form_b <> look"), ["document_id", "look"]).where(unlike)
-    by_look = opened.unionByName(others).select("document_id", "name", "said", F.lit("look").alias("by"))
-    return by_form.unionByName(by_look)
+    # a form is one key; one that still holds look-alike letters has its look as another, which is the form of whatever has none
+    keys = F.explode(F.array_distinct(F.array("form", "look"))).alias("key")
+    left = in_names.select("document_id", F.col("s").alias("name"), F.col("form").alias("form_a"), keys)
+    right = in_sides.select("document_id", F.col("s").alias("said"), F.col("form").alias("form_b"), keys)
+    same = F.col("form_a") == F.col("form_b")
+    met = left.join(right, ["document_id", "key"]).where((F.col("name") != F.col("said")) & (~same | (F.col("key") == F.col("form_a"))))
+    return met.select("document_id", "name", "said", F.when(same, "form").otherwise("look").alias("by"))
 
 
 def found(entities: DataFrame, relations: DataFrame) -> DataFrame:
