@@ -38,6 +38,10 @@ def load(path: str):
     return _loaded[path]
 
 
+#: A word above this many positions, if it is also above the share of ``lookup``, goes through the broadcast; so at most 1,000 do.
+HOT_WORDS = 2_000
+
+
 def words(documents: DataFrame) -> DataFrame:
     """``(doc_id, text_key, pos, word)`` of every pre-token of every text; the key tells texts apart that share an id or have none."""
     some = documents.where(F.length("text") > 0)
@@ -45,18 +49,25 @@ def words(documents: DataFrame) -> DataFrame:
 
 
 def encode_words(distinct: DataFrame, path: str) -> DataFrame:
-    """Adds ``word_ids`` to rows that each hold one ``word``; the other columns stay."""
+    """Adds ``word_ids`` and their number ``n_ids`` to rows that each hold one ``word``; the other columns stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load(path)
         for batch in batches:
-            encoded = tokenizer.encode_batch(list(batch["word"]), add_special_tokens=False)
-            yield batch.assign(word_ids=[e.ids for e in encoded])
+            encoded = [e.ids for e in tokenizer.encode_batch(list(batch["word"]), add_special_tokens=False)]
+            yield batch.assign(word_ids=encoded, n_ids=[len(ids) for ids in encoded])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema) + ", word_ids array<int>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema) + ", word_ids array<int>, n_ids int"
     return distinct.mapInPandas(run, schema)
 
 
+def _looked_up(positions: DataFrame, path: str, wanted: list[str]) -> DataFrame:
+    """The positions with columns of their words, each distinct word of the corpus being encoded once."""
+    vocabulary = cut(encode_words(positions.groupBy("word").agg(F.count(F.lit(1)).alias("n")), path))
+    total, most = vocabulary.agg(F.sum("n"), F.max("n")).first()
+    return lookup(positions, vocabulary.select("word", "n", *wanted), "word", "n", total or 0, most or 0, least=HOT_WORDS)
+
+
 def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
     """``(doc_id, ids)`` for every document: empty and null texts have the empty list.
 
@@ -65,11 +76,7 @@ def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") ->
     come out one by one.
     """
     texts = documents.select("doc_id", "text")
-    positions = words(texts)
-    counts = positions.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = cut(encode_words(counts, path))
-    total, most = vocabulary.agg(F.sum("n"), F.max("n")).first()
-    placed = lookup(positions, vocabulary, "word", "n", total or 0, most or 0)
+    placed = _looked_up(words(texts), path, ["word_ids"])
     parts = placed.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))).alias("parts"))
     # a row delivered twice has every position twice, side by side now; whole texts need no shuffle to find such rows
     once = F.filter("parts", lambda x, i: (i == 0) | (F.get("parts", i - 1)["pos"] != x["pos"]))
@@ -78,6 +85,13 @@ def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") ->
     return ids.unionByName(without).select("doc_id", "ids")
 
 
+def sizes(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
+    """``(doc_id, text_key, n_tokens)`` of every text that is neither null nor empty, once for each id and text; the ids themselves are not put together."""
+    placed = _looked_up(words(documents.select("doc_id", "text")), path, ["n_ids"])
+    counted = placed.groupBy("doc_id", "text_key").agg(F.sum("n_ids").alias("n"), F.count_if(F.col("pos") == 0).alias("copies"))
+    return counted.select("doc_id", "text_key", (F.col("n") / F.col("copies")).cast("int").alias("n_tokens"))
+
+
 def byte_table(path: str) -> dict[int, bytes]:
     """The bytes of each id, by the published byte-to-letter rule: printable bytes stand for themselves, the others follow from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -94,8 +108,10 @@ def decode(encoded: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> Da
     """
     spark = encoded.sparkSession
     table = spark.createDataFrame([(i, bytearray(b)) for i, b in byte_table(path).items()], "id int, bytes binary")
-    exploded = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id"))
-    placed = exploded.join(F.broadcast(table), "id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
+    # rows that share an id, or have none, are told apart by their ids
+    keyed = encoded.select("doc_id", F.xxhash64("ids").alias("ids_key"), "ids").distinct()
+    exploded = keyed.select("doc_id", "ids_key", F.posexplode("ids").alias("pos", "id"))
+    placed = exploded.join(F.broadcast(table), "id").groupBy("doc_id", "ids_key").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
     joined = placed.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), "")), "UTF-8").alias("text"))
-    empty = encoded.where(F.size("ids") == 0).select("doc_id", F.lit("").alias("text"))
+    empty = keyed.where(F.size("ids") == 0).select("doc_id", F.lit("").alias("text"))
     return joined.unionByName(empty)

@@ -20,7 +20,6 @@ from planweave.session import cut
 CAPACITY = 2048
 SHARD_ITEMS = 4096
 SHARDS_A_ROUND = 64
-PASSES = 4
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -94,11 +93,12 @@ class _Bins:
         return best
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
-    """Exchanges between underfull bins that each raise the sum of squared fills; emptied bins are left out."""
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Exchanges between underfull bins that each raise the sum of squared fills, until none does; emptied bins are left out."""
     full = [b for b in bins if sum(sizes[i] for i in b) == capacity]
     state = _Bins([b for b in bins if sum(sizes[i] for i in b) < capacity], sizes, capacity)
-    for _ in range(passes):
+    changed = True
+    while changed:
         changed = False
         for source in sorted(state.items, key=lambda b: (state.fill[b], b)):
             targets = sorted((b for b in state.items if b != source and state.fill[b] < capacity), key=lambda b: (-state.fill[b], b))
@@ -111,8 +111,6 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int
                     changed = True
             if not state.items[source]:
                 del state.items[source], state.fill[source]
-        if not changed:
-            break
     return full + [[i for _, i in members] for members in state.items.values() if members]
 
 
@@ -139,9 +137,11 @@ _PACKED = "doc_id long, piece int, start_token int, size int, shard long, bin lo
 def items(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, piece, start_token, size)``: a document of at most ``capacity`` tokens whole, a longer one in pieces.
 
-    Documents without a token, with a null id or a null count are no items; rows repeated count once.
+    Documents without a token, with a null id or a null count are no items; rows repeated count once, but two texts of
+    one id, told apart by a column ``text_key`` if there is one, are two.
     """
-    some = sizes.where("doc_id is not null and n_tokens > 0").select("doc_id", "n_tokens").distinct()
+    key = ["text_key"] * ("text_key" in sizes.columns)
+    some = sizes.where("doc_id is not null and n_tokens > 0").select("doc_id", *key, "n_tokens").distinct()
     starts = some.select("doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int"))).alias("piece", "k"))
     return starts.select("doc_id", "piece", (F.col("k") * capacity).alias("start_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("k") * capacity).cast("int").alias("size"))
 

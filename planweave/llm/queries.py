@@ -66,9 +66,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids put back into texts, which must be the texts of the documents, '' for null."""
+    return encode.decode(p6_ids(spark, sf_dir))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = p6_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
-    return packing.containers(sizes)
+    return packing.containers(encode.sizes(table(spark, sf_dir, "documents")))
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +88,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_groups, p1_found, p2_groups, p2_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p7_containers, p8_scores, p8_rates, p8_found)
+    f.__name__: f for f in (p1_groups, p1_found, p2_groups, p2_found, p3_pieces, p3_found, p4_collapsed, p4_found, p5_forms, p5_found, p6_ids, p6_texts, p7_containers, p8_scores, p8_rates, p8_found)
 }
 
 _GROUPS = """
@@ -119,6 +123,7 @@ ORACLE: dict[str, str] = {
     "p1_groups": _GROUPS + "SELECT id, group_id FROM g UNION SELECT canon_id, canon_id FROM canonical_entities WHERE canon_id IS NOT NULL AND canon_id NOT IN (SELECT id FROM g)",
     "p1_found": _GROUPS + "SELECT group_id, id AS canon_id FROM g WHERE id <> group_id",
     "p3_found": f"SELECT DISTINCT item_kind, item_id FROM ({_ITEMS}) WHERE length(text) > 1000",
+    "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_collapsed": _COPIES + "SELECT keep_id, copies FROM g",
     "p4_found": _COPIES + "SELECT DISTINCT keep_id, record_id FROM k JOIN g USING (n, t) WHERE record_id > keep_id",
 }

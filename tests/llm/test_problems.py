@@ -313,6 +313,11 @@ def test_ids_equal_the_tokenizer_and_decode(spark, small):
     back = {r.doc_id: r.text for r in encode.decode(encoded).collect()}
     assert back == {i: t or "" for i, t in texts.items()}
     assert encode.encode(docs.limit(0)).count() == 0
+    counts = {r.doc_id: r.n_tokens for r in encode.sizes(docs).collect()}
+    assert counts == {i: len(ids) for i, ids in got.items() if ids}
+    shared = spark.createDataFrame([(7, [1, 2]), (7, [3]), (None, [4]), (7, [1, 2]), (8, [])], "doc_id long, ids array<int>")
+    single = {tuple(r.ids): encode.decode(spark.createDataFrame([(0, list(r.ids))], "doc_id long, ids array<int>")).first().text for r in shared.collect()}
+    assert sorted((r.doc_id or 0, r.text) for r in encode.decode(shared).collect()) == sorted([(7, single[1, 2]), (7, single[3,]), (0, single[4,]), (8, "")])
 
 
 # 7 -----------------------------------------------------------------------------------------------------------
@@ -334,6 +339,28 @@ def test_search_empties_a_bin():
     assert len(bins) == 3 and all(sum(sizes[i] for i in b) <= 10 for b in bins)
 
 
+def test_search_wins_where_best_fit_does_not():
+    sizes = [28, 30, 41, 23, 22, 46, 30, 16, 17, 58, 32, 44]
+    assert len(packing.best_fit(sizes, 100)) == 5 and len(packing.pack(sizes, 100)) == 4
+    rnd, won = random.Random(1), 0
+    for _ in range(300):
+        sizes = [rnd.randint(8, 60) for _ in range(rnd.randint(6, 20))]
+        first, last = packing.best_fit(sizes, 100), packing.pack(sizes, 100)
+        assert sorted(i for b in last for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in last) and len(last) <= len(first)
+        # stable: no further exchange is left
+        assert sorted(map(sorted, packing.improve(last, sizes, 100))) == sorted(map(sorted, last))
+        won += len(last) < len(first)
+    assert won >= 10
+
+
+def test_two_texts_of_one_id_are_two_items(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "two one three"), (1, "one two three"), (2, None), (3, "")], "doc_id long, text string")
+    sizes = encode.sizes(docs)
+    assert sorted((r.doc_id, r.n_tokens) for r in sizes.collect()) == [(1, 3), (1, 3)]
+    rows = packing.containers(sizes).collect()
+    assert len(rows) == 2 and {r.fill for r in rows} == {6} and len({r.container_id for r in rows}) == 1
+
+
 def test_containers(spark):
     rows = [(1, 5000), (2, 100), (2, 100), (3, 0), (4, None), (None, 7)] + [(10 + i, 1 + (i * 37) % 900) for i in range(9000)]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, n_tokens int, shard string")
