@@ -32,8 +32,11 @@ def main(argv: list[str] | None = None) -> int:
     build = commands.add_parser("build", help="rules to a graph")
     build.add_argument("--rules", required=True, help="JSON file or glob")
     build.add_argument("--provider", default="offline", choices=sorted(providers.REGISTRY))
-    build.add_argument("--url", default="")
+    build.add_argument("--url", default="", help="service of the http provider")
+    build.add_argument("--entailment-url", default="", help="text-pair classifier of the http provider; without one the chat model is asked")
+    build.add_argument("--classifier", default="", help="folder of the classifier provider's model")
     build.add_argument("--model", default="")
+    build.add_argument("--out", help="folder for results by document, embeddings, trace and report")
     for name in ("query", "summary", "repair"):
         commands.add_parser(name)
     for name, sub in commands.choices.items():
@@ -46,16 +49,20 @@ def main(argv: list[str] | None = None) -> int:
             sub.add_argument("--top", type=int, default=20)
             sub.add_argument("--out")
             sub.add_argument("--tables", help="folder for the lists that grow with the data, whole")
+        sub.add_argument("--log", help="file for the log, beside the console")
     args = parser.parse_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
+    handlers = [logging.StreamHandler()] + ([logging.FileHandler(args.log, encoding="utf-8")] if args.log else [])
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s", handlers=handlers, force=True)
     spark = SparkSession.builder.appName("planweave").getOrCreate()
     ship(spark)
     store = graph.GraphStore(spark, args.graph)
     if args.command == "build":
-        settings = {"url": args.url, "model": args.model} if args.provider == "http" else {}
+        settings = {"http": {"url": args.url, "model": args.model, "entailment_url": args.entailment_url}, "classifier": {"path": args.classifier}}.get(args.provider, {})
         built = pipeline.build(spark, readers.read_rules(spark, args.rules), providers.create(args.provider, **settings))
         version = store.write(built.nodes, built.edges)
         logging.info("version %d of %s", version, args.graph)
+        if args.out:
+            pipeline.write_outputs(built, args.out)
         print(built.report)
         return 0
     tables = store.read()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planweave.functions.text import ustrip
+
 LISTS = ("entities", "relations", "canonical_entities", "bridge_relations")
 MAP = "alias_map"
 _ROW = T.MapType(T.StringType(), T.StringType())
@@ -230,11 +233,39 @@ def strict(c: Column) -> Column:
     return F.when(got["entities"].isNotNull() & got["relations"].isNotNull(), got)
 
 
+#: What a string is worth that names all, or any, of some keys, that has both braces, and the length that counts for 1.
+ALL_KEYS, ANY_KEY, BRACES, FULL_LENGTH = (("entities", "relations"), 5.0), (("alias_map", "bridge_relations"), 4.0), 2.0, 20_000
+
+
 def best_string(strings: Column) -> Column:
-    """The string of an array that most looks like a payload: keys count most, then braces, then length; ties to the first."""
+    """The string of an array that most looks like a payload: keys count most, then braces, then length up to a bound; ties to the first."""
 
     def score(s: Column) -> Column:
-        has = lambda k: s.contains(f'"{k}"')
-        return F.when(has("entities") & has("relations"), 5.0).otherwise(0.0) + F.when(has("alias_map") | has("bridge_relations"), 4.0).otherwise(0.0) + F.when(s.contains("{") & s.contains("}"), 2.0).otherwise(0.0) + F.length(s) / 20000.0
+        every = s.contains(ALL_KEYS[0][0]) & s.contains(ALL_KEYS[0][1])
+        some = s.contains(ANY_KEY[0][0]) | s.contains(ANY_KEY[0][1])
+        worth = F.when(every, ALL_KEYS[1]).otherwise(0.0) + F.when(some, ANY_KEY[1]).otherwise(0.0) + F.when(s.contains("{") & s.contains("}"), BRACES).otherwise(0.0)
+        return worth + F.least(F.length(s), F.lit(FULL_LENGTH)) / FULL_LENGTH
+
+    known = F.filter(F.transform(strings, ustrip), lambda s: F.length(s) > 0)
+    return F.array_max(F.transform(known, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("i"), s.alias("s"))))["s"]
+
+
+def strings_in(value: Any) -> Iterator[str]:
+    """All strings inside a nested value, in order."""
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, dict):
+        for v in value.values():
+            yield from strings_in(v)
+    elif isinstance(value, (list, tuple)):
+        for v in value:
+            yield from strings_in(v)
+
+
+def pick_string(value: Any) -> str:
+    """As ``best_string``, for the strings inside a value that is at hand; '' when there is none."""
+
+    def worth(s: str) -> float:
+        return ALL_KEYS[1] * all(k in s for k in ALL_KEYS[0]) + ANY_KEY[1] * any(k in s for k in ANY_KEY[0]) + BRACES * ("{" in s and "}" in s) + min(len(s), FULL_LENGTH) / FULL_LENGTH
 
-    return F.array_max(F.transform(strings, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("i"), s.alias("s"))))["s"]
+    return max((t for s in strings_in(value) if (t := s.strip())), key=worth, default="")

@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from planweave.config import DEFAULT
 from planweave.functions.vectors import as_double, dot, norm, normalized
-from planweave.session import cut
+from planweave.operators.skew import lookup
+from planweave.session import cut, cut_measured
 
 #: Rows of a block that meet in one task; a larger block is cut into tiles and pairs of tiles.
 TILE = 2048
@@ -60,25 +62,29 @@ def edges(near: DataFrame, names: DataFrame | None = None) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """``(key, component)``, the component being its smallest key, by alternating large-star and small-star.
 
-    (Kiveris et al., Connected Components in MapReduce and Beyond.) Every round is written to the checkpoint folder.
+    (Kiveris et al., Connected Components in MapReduce and Beyond.) Every round is written to the checkpoint folder,
+    and a vertex with a large share of all links is looked up apart.
     """
     now = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
 
+    marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
+    before = now.agg(*marks).first().asDict()
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         seen = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-        least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = seen.join(least, "u")
+        least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n").persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(least)
+        total, most = least.agg(F.sum("n"), F.max("n")).first()
+        joined = lookup(seen, least, "u", "n", total or 0, most or 0)
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = mark(now)
     for _ in range(max_rounds):
-        now = cut(star(star(now, True), False))
-        after = mark(now)
+        kept: list[DataFrame] = []
+        now, after = cut_measured(star(star(now, True), False), *marks)
+        for df in kept:
+            df.unpersist()
         if after == before:
             leaves = now.select(F.col("u").alias("key"), F.col("v").alias("component"))
             roots = now.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct()
@@ -127,6 +133,11 @@ def embed(rows: DataFrame, text: str, provider, batch: int = DEFAULT.embedding_b
     return some.mapInPandas(run, fields + ", embedding array<double>").withColumn("norm_l2", norm(F.col("embedding")))
 
 
+def records_of(embedded: DataFrame, key: str, text: str, model: str, source: list[str]) -> DataFrame:
+    """``(id, text, embedding, model, dim, norm_l2, source)`` of rows that have their ``embedding`` already."""
+    return embedded.select(F.col(key).alias("id"), F.col(text).alias("text"), "embedding", F.lit(model).alias("model"), F.size("embedding").alias("dim"), "norm_l2", F.struct(*source).alias("source"))
+
+
 def embedding_records(rows: DataFrame, key: str, text: str, provider, model: str, source: list[str], batch: int = DEFAULT.embedding_batch) -> DataFrame:
     """``(id, text, embedding, model, dim, norm_l2, source)`` ready to be written as parquet or JSON lines; ``source`` names the columns of the nested struct."""
     done = embed(rows.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*source).alias("source")), "text", provider, batch)

@@ -96,11 +96,11 @@ def dedupe_by_position(entities: DataFrame, document: str = "document_id") -> Da
     return first_wins(entities, [document, "chunk_index", "start_pos", "end_pos"], [F.col("entity_id")])
 
 
-def _as_triple(k: int, predicate: str, subject_type: str, object_type: str, subjects: Column, objects: Column):
+def _as_triple(k: int, predicate: str, subject_type: str, object_type: str, pattern: str):
     def one(s: Column, i: Column) -> Column:
-        return F.struct(
-            (F.lit(k * 100_000) + i).alias("ord"), ustrip(F.get(subjects, i)).alias("subject"), F.lit(predicate).alias("predicate"), ustrip(F.get(objects, i)).alias("object"), F.lit(subject_type).alias("subject_type"), F.lit(object_type).alias("object_type"), s["start_pos"].alias("s"), s["end_pos"].alias("e")
-        )
+        # the groups are read from the match alone, so a text is searched once for each pattern
+        end = lambda g: ustrip(F.regexp_extract(s["name"], pattern, g))
+        return F.struct((F.lit(k * 100_000) + i).alias("ord"), end(1).alias("subject"), F.lit(predicate).alias("predicate"), end(2).alias("object"), F.lit(subject_type).alias("subject_type"), F.lit(object_type).alias("object_type"), s["start_pos"].alias("s"), s["end_pos"].alias("e"))
 
     return one
 
@@ -110,8 +110,8 @@ def pattern_relations(documents: DataFrame, key: str = "doc_id", text: str = "te
     t = F.col(text)
     parts = []
     for k, (predicate, subject_type, object_type, pattern) in enumerate(packs.RELATION_PATTERNS):
-        all_ = [F.regexp_extract_all(t, F.lit(packs.anchored(pattern)), g) for g in (0, 1, 2)]
-        parts.append(F.transform(offsets(t, all_[0]), _as_triple(k, predicate, subject_type, object_type, all_[1], all_[2])))
+        matches = F.regexp_extract_all(t, F.lit(packs.anchored(pattern)), 0)
+        parts.append(F.transform(offsets(t, matches), _as_triple(k, predicate, subject_type, object_type, pattern)))
     rows = spread(documents.select(key, text)).where(F.length(text) > 0).select(key, text, F.explode(F.flatten(F.array(*parts))).alias("r")).where("r.subject <> '' and r.object <> ''")
     flat = rows.select(key, "r.ord", "r.subject", "r.predicate", "r.object", "r.subject_type", "r.object_type", F.lit(float(confidence)).alias("confidence"), window(t, F.col("r.s"), F.col("r.e")).alias("source_text"))
     return first_wins(flat, [key, "subject", "predicate", "object"], [F.col("ord")]).drop("ord")
@@ -141,3 +141,9 @@ def chunk_hints(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """``(document_id, chunk_index, hints)``: sorted names of the entities first seen in each chunk, [] for none."""
     names = entities.groupBy("document_id", "chunk_index").agg(F.array_sort(F.collect_set("name")).alias("hints"))
     return chunks.join(names, ["document_id", "chunk_index"], "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<string>")))
+
+
+def distributions(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``(kind, name, n)``: entities by type and relations by predicate."""
+    count = F.count(F.lit(1)).alias("n")
+    return entities.groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("name")).agg(count).unionByName(relations.groupBy(F.lit("relation").alias("kind"), F.col("predicate").alias("name")).agg(count))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from planweave.functions import packs
 from planweave.functions.text import canonical_type, relation_type
+from planweave.operators.skew import lookup_counted
 
 NODE_KEY = ["label", "name", "source_name"]
 EDGE_KEY = ["src_label", "src_name", "src_source", "type", "dst_label", "dst_name", "dst_source"]
@@ -86,11 +87,13 @@ def resolve_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
         part = relations.where(F.col("source_name").isNotNull() if sourced else F.col("source_name").isNull())
         rels = part.withColumn("type", relation_type(F.col("predicate")))
         for side, end in (("src", "subject"), ("dst", "object")):
-            known = nodes.select(F.col("label").alias(f"{side}_label"), F.col("name").alias(f"{side}_name"), F.col("source_name").alias(f"{side}_source"))
-            condition = F.col(end) == F.col(f"{side}_name")
             if sourced:
-                condition = condition & (F.col("source_name") == F.col(f"{side}_source"))
-            rels = rels.join(known, condition)
+                # a name has a node of each label at most in a source; a hub, or a source with a large share of all relations, is looked up apart
+                known = nodes.select(F.col("name").alias(end), "source_name", F.col("label").alias(f"{side}_label"), F.col("name").alias(f"{side}_name"), F.col("source_name").alias(f"{side}_source"))
+                rels = lookup_counted(rels, known, [end, "source_name"])
+            else:
+                known = nodes.select(F.col("name").alias(end), F.col("label").alias(f"{side}_label"), F.col("name").alias(f"{side}_name"), F.col("source_name").alias(f"{side}_source"))
+                rels = rels.join(known, end)
         out = rels if out is None else out.unionByName(rels)
     return out
 
@@ -200,30 +203,15 @@ def link_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _labels(nodes.sparkSession).join(counted, "label", "left").na.fill(0)
 
 
-#: Lists of the summary that grow with the data (sources, labels and edge types): what their rows are counted by, and the kinds of row in them.
-OPEN = {"statistics": (["kind", "name"], ["kind"]), "nodes_by_source": (["level", "source_name", "label"], ["level"]), "edges_by_source": (["source_name"], []), "bridges": (["kind", "name"], ["kind"])}
+#: Lists of the summary that grow with the data (sources, labels and edge types), and what their rows are counted by.
+OPEN = {"statistics": ["kind", "name"], "nodes_by_source": ["level", "source_name", "label"], "edges_by_source": ["source_name"], "bridges": ["kind", "name"]}
 
 
-def first_rows(df: DataFrame, order: list, kinds: list[str], most: int) -> list[dict]:
-    """The first ``most`` rows in ``order``; what is left, if anything, is one row for each of ``kinds`` with ``rest``, the number of rows, and the sum of ``n``."""
-    rows = [r.asDict() for r in df.orderBy(*order).limit(most + 1).collect()]
-    if len(rows) <= most:
-        return rows
-    rows = rows[:most]
-    left = []
-    counts = df.groupBy(*kinds).agg(F.count(F.lit(1)).alias("rest"), F.sum("n").alias("n")).collect()
-    for t in sorted(counts, key=lambda t: [t[c] for c in kinds]):
-        shown = [r["n"] for r in rows if all(r[c] == t[c] for c in kinds)]
-        if t["rest"] > len(shown):
-            left.append(t.asDict() | {"rest": t["rest"] - len(shown), "n": t["n"] - sum(shown)})
-    return rows + left
+def summary(nodes: DataFrame, edges: DataFrame, k: int = 20, tables: str | None = None) -> dict[str, list[dict]]:
+    """All statistics as lists of rows by name, those in OPEN ordered by count.
 
-
-def summary(nodes: DataFrame, edges: DataFrame, k: int = 20, most: int = 10_000, tables: str | None = None) -> dict[str, list[dict]]:
-    """All statistics as lists of rows by name.
-
-    The lists in OPEN are ordered by count and end after ``most`` rows with the number and sum of the rest; with
-    ``tables`` they are also written whole, as JSON lines in a folder each. The others have a fixed size.
+    With ``tables`` the lists in OPEN, which grow with sources, labels and edge types, are written whole as JSON lines in
+    a folder each instead of coming to the driver, and stand in the summary as that folder and the number of rows.
     A section that fails is reported under its name and does not stop the others.
     """
     for flag in (*FLAGS, "chunk_index", "source_name"):
@@ -244,13 +232,12 @@ def summary(nodes: DataFrame, edges: DataFrame, k: int = 20, most: int = 10_000,
     for name, make in sections.items():
         try:
             df = make()
-            if name not in OPEN:
-                out[name] = [r.asDict() for r in df.collect()]
-                continue
-            by, kinds = OPEN[name]
-            if tables:
-                df.write.mode("overwrite").json(f"{tables.rstrip('/')}/{name}")
-            out[name] = first_rows(df, [F.desc("n"), *by], kinds, most)
+            if name in OPEN and tables:
+                folder = f"{tables.rstrip('/')}/{name}"
+                df.orderBy(F.desc("n"), *OPEN[name]).write.mode("overwrite").json(folder)
+                out[name] = [{"table": folder, "rows": nodes.sparkSession.read.text(folder).count()}]
+            else:
+                out[name] = [r.asDict() for r in (df.orderBy(F.desc("n"), *OPEN[name]) if name in OPEN else df).collect()]
         except Exception as e:  # noqa: BLE001
             out[name] = [{"error": f"{type(e).__name__}: {e}"[:300]}]
     return out
@@ -329,39 +316,61 @@ def graph_of(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, Data
 
 
 class GraphStore:
-    """Nodes and edges kept as parquet under one folder; every write makes a new version, so a lost job leaves the last one whole."""
+    """Nodes and edges kept as parquet under one folder; every write makes a new version, so a lost job leaves the last one whole.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A version is whole or holds only what a merge added. Reading unites the last whole version with the additions
+    since by one aggregation; after ``compact_after`` additions a merge writes a whole version again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = 16):
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
 
     def _pointer(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self) -> int:
+    def _versions(self) -> list[tuple[int, bool]]:
+        """``(version, whole)`` in order."""
         fs, path = self._pointer()
-        if not fs.exists(path):
-            return -1
-        return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=-1)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(n.rstrip("+")), not n.endswith("+")) for n in names)
+
+    def version(self) -> int:
+        return max((v for v, _ in self._versions()), default=-1)
+
+    def _current(self) -> list[tuple[int, bool]]:
+        known = self._versions()
+        whole = max((k for k, (_, w) in enumerate(known) if w), default=0)
+        return known[whole:]
 
     def read(self) -> tuple[DataFrame, DataFrame] | None:
-        v = self.version()
-        if v < 0:
+        parts = self._current()
+        if not parts:
             return None
-        return self.spark.read.parquet(f"{self.path}/nodes/v={v}"), self.spark.read.parquet(f"{self.path}/edges/v={v}")
-
-    def write(self, nodes: DataFrame, edges: DataFrame) -> int:
+        out = []
+        for name, merge in (("nodes", upsert_nodes), ("edges", upsert_edges)):
+            base = self.spark.read.parquet(f"{self.path}/{name}/v={parts[0][0]}") if parts[0][1] else None
+            added = None
+            for v, whole in parts:
+                if not whole:
+                    rows = self.spark.read.parquet(f"{self.path}/{name}/v={v}").withColumn("seq", F.lit(v).cast("long"))
+                    added = rows if added is None else added.unionByName(rows, allowMissingColumns=True)
+            out.append(base if added is None else merge(base, added))
+        return out[0], out[1]
+
+    def write(self, nodes: DataFrame, edges: DataFrame, whole: bool = True) -> int:
         v = self.version() + 1
         nodes.write.mode("overwrite").parquet(f"{self.path}/nodes/v={v}")
         edges.write.mode("overwrite").parquet(f"{self.path}/edges/v={v}")
         fs, path = self._pointer()
-        fs.mkdirs(path.suffix(f"/{v}"))  # only now does the version exist
+        fs.mkdirs(path.suffix(f"/{v}" + "+" * (not whole)))  # only now does the version exist
         return v
 
     def merge(self, nodes: DataFrame, edges: DataFrame, seq: str = "seq") -> int:
-        old = self.read()
-        return self.write(upsert_nodes(old[0] if old else None, nodes, seq), upsert_edges(old[1] if old else None, edges, seq))
+        """Adds rows: what is kept is not written again, but after ``compact_after`` additions."""
+        v = self.write(upsert_nodes(None, nodes, seq), upsert_edges(None, edges, seq), whole=False)
+        return self.write(*self.read()) if sum(not w for _, w in self._current()) >= self.compact_after else v
 
     def clear(self) -> int:
         old = self.read()

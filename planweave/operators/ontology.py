@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from planweave.functions import packs
 from planweave.session import cut
 
-#: Plan names are broadcast only up to this many; more take the join by gram.
-BROADCAST_NAMES = 10_000
+#: Plan names and sources meet on so many signs.
+GRAM = 6
 
 
 def plan_nodes(spark: SparkSession) -> DataFrame:
@@ -41,38 +41,31 @@ def depths(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def specificity(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(name, depth, specificity)``, the specificity being the depth over the largest; null where there is no way to a root."""
+    """``(name, depth, specificity)``, the specificity being the depth over the largest, most specific first; null where there is no way to a root."""
     known = cut(depths(nodes, edges, roots))
     most = known.agg(F.max("depth")).first()[0]
-    return known.select("name", "depth", F.round(F.try_divide(F.col("depth"), F.lit(most)), 6).alias("specificity"))
+    return known.select("name", "depth", F.round(F.try_divide(F.col("depth"), F.lit(most)), 6).alias("specificity")).orderBy(F.desc_nulls_last("specificity"), "name")
 
 
-def anchor(sources: DataFrame, plans: DataFrame, name: str = "source_name", n_plans: int | None = None) -> DataFrame:
+def anchor(sources: DataFrame, plans: DataFrame, name: str = "source_name") -> DataFrame:
     """``(source_name, plan)`` for each distinct source whose name contains a plan's name.
 
-    Up to BROADCAST_NAMES plans are broadcast and tested one by one against the distinct sources. Beyond, both
-    sides meet on the first characters of the plan's name at every place of the source's name, and only those
-    that meet are tested.
+    Both sides meet on the first GRAM signs of the plan's name, or all of a shorter one, at every place of the
+    source's name, and only those that meet are tested.
     """
     distinct = sources.select(F.col(name).alias("source_name")).where("source_name is not null").distinct()
     known = plans.select(F.col("name").alias("plan")).where("plan <> ''").distinct()
-    n = known.count() if n_plans is None else n_plans
-    if n <= BROADCAST_NAMES:
-        return distinct.join(F.broadcast(known), F.col("source_name").contains(F.col("plan")))
-    gram = 6
-    grams = distinct.select("source_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("source_name")), lambda i: F.substring("source_name", i, F.lit(gram)))).alias("g"))
-    long = known.where(F.length("plan") >= gram).withColumn("g", F.substring("plan", 1, gram))
-    short = known.where(F.length("plan") < gram)
-    starts = short.withColumn("n", F.length("plan"))
-    short_grams = grams.select("source_name", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(gram - 1)), lambda k: F.substring("g", F.lit(1), k))).alias("k", "plan")).distinct()
-    met = grams.join(long, "g").where(F.col("source_name").contains(F.col("plan"))).select("source_name", "plan")
-    return met.unionByName(short_grams.join(starts, "plan").select("source_name", "plan")).distinct()
-
-
-def anchor_edges(nodes: DataFrame, plans: DataFrame, n_plans: int | None = None) -> DataFrame:
+    grams = distinct.where("source_name <> ''").select("source_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("source_name")), lambda i: F.substring("source_name", i, F.lit(GRAM)))).alias("g"))
+    starts = known.withColumn("g", F.substring("plan", 1, GRAM)).withColumn("n", F.length("g"))
+    lengths = F.sequence(F.lit(1), F.least(F.length("g"), F.lit(GRAM)))
+    heads = grams.select("source_name", F.explode(F.transform(lengths, lambda k: F.substring("g", F.lit(1), k))).alias("g")).distinct()
+    return heads.join(starts, "g").where(F.col("source_name").contains(F.col("plan"))).select("source_name", "plan").distinct()
+
+
+def anchor_edges(nodes: DataFrame, plans: DataFrame) -> DataFrame:
     """Edges from every entity node to each plan whose name its source contains; sources are matched once each."""
     some = nodes.where(~F.col("label").isin(packs.PLAN_LABEL, packs.TYPE_LABEL) & F.col("source_name").isNotNull())
-    found = anchor(some, plans, n_plans=n_plans)
+    found = anchor(some, plans)
     return some.join(found, "source_name").select(
         F.col("label").alias("src_label"), F.col("name").alias("src_name"), F.col("source_name").alias("src_source"), F.lit(packs.OF_SOURCE).alias("type"), F.lit(packs.PLAN_LABEL).alias("dst_label"), F.col("plan").alias("dst_name"), F.lit("").alias("dst_source")
     )

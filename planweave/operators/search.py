@@ -21,7 +21,7 @@ def top_k(rows: DataFrame, vector: str, query: list[float], key: str, k: int) ->
 
 def tiered(rules: DataFrame, chunks: DataFrame, vector: str, query: list[float], key: str, k: int, threshold: float = DEFAULT.search_threshold) -> DataFrame:
     """The best rules, or the best chunks if there is no rule at all; ``tier`` says rule (the best is at least ``threshold``), weak_rule or chunk."""
-    best = top_k(rules, vector, query, key, k)
+    best = cut(top_k(rules, vector, query, key, k))
     most = best.agg(F.max("similarity")).first()[0]
     if most is None:
         return top_k(chunks, vector, query, key, k).withColumn("tier", F.lit("chunk"))

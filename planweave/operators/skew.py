@@ -30,3 +30,18 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, count: str, total_rows:
     through_broadcast = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return through_broadcast.unionByName(rest.join(values.where(F.col(count) <= limit).drop(count), key))
+
+
+def lookup_counted(rows: DataFrame, values: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, a bounded number of rows per key, when nobody has counted the rows of a key yet.
+
+    The count is an aggregate with a partial step before its shuffle. At most ``1 / share`` keys are hot, and only
+    their values are broadcast.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    total, most = counts.agg(F.sum("n_"), F.max("n_")).first()
+    limit = hot_threshold(total or 0, share, least)
+    if (most or 0) <= limit:
+        return rows.join(values, keys)
+    hot = F.broadcast(counts.where(F.col("n_") > limit).select(*keys))
+    return rows.join(F.broadcast(values.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(values, keys))

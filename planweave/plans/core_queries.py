@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.config import DEFAULT
 from planweave.functions import packs, payload, prompts, text, vectors
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve, search
 from planweave.sources import readers
-from planweave.sources.providers import Offline, ask, entailment
-from planweave.session import cut, spread, table
+from planweave.streaming import rules as streaming
+from planweave.sources.providers import Offline, ask, entailment, trace
+from planweave.plans import pipeline
+from planweave.session import cut, shared_folder, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -190,11 +193,40 @@ def chunk_paragraphs(spark, d):
     return chunking.paragraph_chunks(table(spark, d, "sections")).select("document", "chunk_index", F.md5("chunk_text").alias("text_md5"))
 
 
-@query()
+def _sentences(c: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({c}, '[。！？；]{_SP}*'), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+#: The longest run of last sentences of ``now`` whose tokens together are within the overlap.
+_TAIL = f"""(WITH l AS (SELECT {_sentences("r.now")} AS v), j AS (SELECT v, min(k) AS k FROM l, unnest(generate_series(1, len(v))) AS g(k) WHERE list_sum(list_transform(v[k:], lambda x: length(x) // 2)) <= {DEFAULT.overlap_tokens} GROUP BY v)
+  SELECT coalesce((SELECT array_to_string(v[k:], '。') || '。' FROM j), ''))"""
+
+
+@query(
+    f"""WITH RECURSIVE long AS (SELECT doc_id, unnest({_sentences("text")}) AS s, generate_subscripts({_sentences("text")}, 1) AS i FROM documents WHERE length(text) // 2 > {DEFAULT.chunk_tokens}),
+r(doc_id, i, now, n, no) AS (
+  SELECT doc_id, 1, s, length(s) // 2, 0 FROM long WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN is_full THEN tail || s ELSE now || '。' || s END, CASE WHEN is_full THEN length(tail || s) // 2 ELSE n + length(s) // 2 END, no + CASE WHEN is_full THEN 1 ELSE 0 END
+  FROM (SELECT r.doc_id, l.i, l.s, r.now, r.n, r.no, r.n + length(l.s) // 2 > {DEFAULT.chunk_tokens} AS is_full, CASE WHEN r.n + length(l.s) // 2 > {DEFAULT.chunk_tokens} THEN {_TAIL} END AS tail FROM r JOIN long l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+)
+SELECT doc_id, CAST(no AS INTEGER) AS chunk_index, arg_max(now, i) AS chunk_text FROM r GROUP BY doc_id, no
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) > 0 AND length(text) // 2 <= {DEFAULT.chunk_tokens}"""
+)
 def chunk_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
+@query(
+    f"""WITH l AS (SELECT doc_id, {_sentences("text")} AS v FROM documents WHERE text IS NOT NULL),
+j AS (SELECT doc_id, min(k) AS k FROM (SELECT doc_id, v, unnest(generate_series(1, len(v))) AS k FROM l) WHERE list_sum(list_transform(v[k:], lambda x: length(x) // 2)) <= {DEFAULT.overlap_tokens} GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(array_to_string(l.v[j.k:], '。') || '。', '') END AS tail FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN j ON j.doc_id = d.doc_id"""
+)
+def overlap_tails(spark, d):
+    """What the next chunk would begin with, were each text a chunk."""
+    return table(spark, d, "documents").select("doc_id", chunking.overlap_tail(F.col("text"), DEFAULT.overlap_tokens, 2).alias("tail"))
+
+
 # extraction ------------------------------------------------------------------------------------------------
 
 _MATCHES = " UNION ALL ".join(f"SELECT '{packs.TYPE_MAP.get(k, k)}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS name FROM documents" for k, p in packs.ENTITY_PATTERNS)
@@ -206,12 +238,32 @@ def entity_matches(spark, d):
     return docs.groupBy("s.entity_type", "s.name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Places of the matches: what a pattern leaves between its matches tells where they lie. All are equally sure, so of two that overlap the first by place stays.
+_SPANS = f"""
+found AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{packs.TYPE_MAP.get(kind, kind)}' AS entity_type, regexp_extract_all(text, '{x}') AS m, regexp_split_to_array(text, '{x}') AS apart FROM documents" for k, (kind, x) in enumerate(packs.ENTITY_PATTERNS))}),
+each_match AS (SELECT doc_id, k, entity_type, unnest(m) AS name, unnest(apart[1:len(m)]) AS ahead, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0),
+placed AS (SELECT doc_id, k, i, entity_type, name, sum(length(ahead) + length(name)) OVER (PARTITION BY doc_id, k ORDER BY i) AS end_pos FROM each_match),
+ordered AS (SELECT doc_id, entity_type, name, end_pos - length(name) AS start_pos, end_pos, row_number() OVER (PARTITION BY doc_id ORDER BY end_pos - length(name), end_pos, k, i) AS n FROM placed),
+kept(doc_id, n, last_end, taken) AS (
+  SELECT doc_id, n, end_pos, true FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.doc_id, o.n, CASE WHEN o.start_pos >= q.last_end THEN o.end_pos ELSE q.last_end END, o.start_pos >= q.last_end FROM kept q JOIN ordered o ON o.doc_id = q.doc_id AND o.n = q.n + 1
+),
+spans AS (SELECT o.*, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.n) - 1 AS ord FROM ordered o JOIN kept q ON q.doc_id = o.doc_id AND q.n = o.n WHERE q.taken)
+"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SPANS}
+SELECT doc_id, s.name, s.entity_type, CAST(s.start_pos AS INTEGER) AS start_pos, CAST(s.end_pos AS INTEGER) AS end_pos, CAST({DEFAULT.pattern_confidence} AS DOUBLE) AS confidence,
+  substring(d.text, CAST(greatest(s.start_pos - 10, 0) + 1 AS BIGINT), CAST(s.end_pos + 10 - greatest(s.start_pos - 10, 0) AS BIGINT)) AS source_text, CAST(s.ord AS INTEGER) AS ord
+FROM spans s JOIN documents d USING (doc_id)"""
+)
 def entity_spans_merged(spark, d):
     return extract.entity_spans(table(spark, d, "documents"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SPANS} SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT DISTINCT doc_id, name, entity_type FROM spans) GROUP BY entity_type")
 def entity_type_counts(spark, d):
     """The flagship: documents to spans, overlap merge, the first of each name and type of a document, counts by type."""
     spans = extract.entity_spans(table(spark, d, "documents"))
@@ -741,17 +793,21 @@ def anchor_contains(spark, d):
 
 @query("SELECT record_id, body->>'rule_name' AS name, CAST(coalesce(json_array_length(body->'elements'), 0) AS BIGINT) AS n_elements FROM (SELECT record_id, body::JSON AS body FROM rule_json)")
 def json_payload(spark, d):
-    """Each rule's JSON as the answer of a model: fenced, in Han, broken off at the end; read back by the tolerant reader."""
-    answer = F.concat(F.lit('结果如下：\n```json\n{"entities": ['), F.col("body"), F.lit(',], "relations": [], "bridge_relations": [{"subject": "'))
+    """Each rule's JSON as the answer of a model, in four shapes: fenced and broken off, bare, with words and commas too many, broken off within a record; read back by the tolerant reader."""
+    shapes = [('结果如下：\n```json\n{"entities": [', ',], "relations": [], "bridge_relations": [{"subject": "'), ('{"entities": [', '], "relations": []}'), ('说明{如下}：\n{"relations": [], "entities": [', ", ], }\n以上。"), ('{"entities": [', ', {"name": "断')]
+    body, k = F.col("body"), F.col("record_id") % 4
+    answer = F.coalesce(*[F.when(k == i, F.concat(F.lit(x), body, F.lit(y))) for i, (x, y) in enumerate(shapes)])
     rows = table(spark, d, "rule_json").select("record_id", payload.parsed(answer).alias("p"))
     first = F.get("p.entities", F.lit(0))
     n = F.size(F.from_json(first["elements"], "array<string>"))
     return rows.select("record_id", first["rule_name"].alias("name"), F.when(n > 0, n).otherwise(0).cast("long").alias("n_elements"))
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS prompt_sha256, coalesce(length(text), 0) AS prompt_chars FROM documents")
+@query("SELECT 'Offline' AS model, coalesce(length(text), 0) AS prompt_chars, sha256(coalesce(text, '')) AS prompt_sha256, 'ok' AS status, 1 AS attempt FROM documents")
 def trace_records(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.prompt_hash(F.col("text")).alias("prompt_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("prompt_chars"))
+    """Every document put to the offline provider, and the audit rows of the calls."""
+    asked = ask(table(spark, d, "documents").select(F.col("text").alias("prompt")), Offline())
+    return trace(asked, "Offline").select("model", F.col("prompt_chars").cast("long").alias("prompt_chars"), "prompt_sha256", "status", "attempt")
 
 
 @query(
@@ -766,17 +822,15 @@ def run_report(spark, d):
 
 @query(f"WITH {_ENTITIES} SELECT 'entity' AS kind, entity_type AS name, count(*) AS n FROM first_entities GROUP BY ALL UNION ALL SELECT 'relation', predicate, count(*) FROM ({_REL_FIRST}) GROUP BY ALL")
 def type_distributions(spark, d):
-    e, r = extract.dedupe_entities(table(spark, d, "entities")), extract.dedupe_relations(table(spark, d, "relations"))
-    count = F.count(F.lit(1)).alias("n")
-    return e.groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("name")).agg(count).unionByName(r.groupBy(F.lit("relation").alias("kind"), F.col("predicate").alias("name")).agg(count))
+    return extract.distributions(extract.dedupe_entities(table(spark, d, "entities")), extract.dedupe_relations(table(spark, d, "relations")))
 
 
 # prompts ---------------------------------------------------------------------------------------------------
 
 
 @query(
-    f"""WITH h AS (SELECT document_id, string_agg(DISTINCT name, '、' ORDER BY name) AS names FROM entities WHERE name IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL)
-SELECT document_id, md5('{prompts.EXTRACTION}' || chr(10) || '已知实体：' || names || chr(10) || '文本：' || chr(10) || document_id) AS prompt_md5 FROM h"""
+    f"""WITH h AS (SELECT document_id, string_agg(DISTINCT name, chr(10) || '- ' ORDER BY name) AS names FROM entities WHERE name IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL)
+SELECT document_id, md5('{prompts.EXTRACTION}' || chr(10) || '已知实体：' || chr(10) || '- ' || names || chr(10) || '文本：' || chr(10) || document_id) AS prompt_md5 FROM h"""
 )
 def extraction_prompts(spark, d):
     rows = table(spark, d, "entities").where("name is not null and document_id is not null").groupBy("document_id").agg(F.array_sort(F.collect_set("name")).alias("hints"))
@@ -784,11 +838,11 @@ def extraction_prompts(spark, d):
 
 
 @query(
-    f"""WITH e AS (SELECT document_id, string_agg(DISTINCT name, '、' ORDER BY name) AS names FROM entities WHERE name IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
-r AS (SELECT document_id, string_agg(DISTINCT subject || predicate || object, '；' ORDER BY subject || predicate || object) AS triples FROM relations WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL GROUP BY ALL),
+    f"""WITH e AS (SELECT document_id, string_agg(DISTINCT name, chr(10) ORDER BY name) AS names FROM entities WHERE name IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT document_id, string_agg(DISTINCT subject || predicate || object, chr(10) ORDER BY subject || predicate || object) AS triples FROM relations WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL GROUP BY ALL),
 i AS (SELECT DISTINCT document_id, name FROM entities e WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.document_id = e.document_id AND (r.subject = e.name OR r.object = e.name) AND e.name <> '')),
-l AS (SELECT document_id, string_agg(name, '、' ORDER BY name) AS lonely FROM i GROUP BY ALL)
-SELECT document_id, md5('{prompts.CONSOLIDATION}' || chr(10) || '实体：' || names || chr(10) || '关系：' || coalesce(triples, '') || chr(10) || '孤立实体：' || coalesce(lonely, '')) AS prompt_md5 FROM e LEFT JOIN r USING (document_id) LEFT JOIN l USING (document_id)"""
+l AS (SELECT document_id, string_agg(name, chr(10) ORDER BY name) AS lonely FROM i GROUP BY ALL)
+SELECT document_id, md5('{prompts.CONSOLIDATION}' || chr(10) || '实体：' || chr(10) || names || chr(10) || '关系：' || chr(10) || coalesce(triples, '') || chr(10) || '孤立实体：' || chr(10) || coalesce(lonely, '')) AS prompt_md5 FROM e LEFT JOIN r USING (document_id) LEFT JOIN l USING (document_id)"""
 )
 def consolidation_prompts(spark, d):
     e, r = table(spark, d, "entities"), table(spark, d, "relations")
@@ -806,3 +860,153 @@ def provider_calls(spark, d):
     """Every chunk put to the offline provider, which answers with the length of the text; the status of each call."""
     rows = table(spark, d, "chunk_texts").select("chunk_id", F.trim(F.coalesce("chunk_text", F.lit(""))).alias("prompt"))
     return ask(rows, Offline(answer=lambda p: str(len(p)) if p else "")).select("chunk_id", "status")
+
+
+# the stages of a build -------------------------------------------------------------------------------------
+
+_GROUPED = f"""grouped AS (
+  SELECT 'group_' || source_name || '_' || (b * 12 + 1) || '_' || (b * 12 + count(*)) AS doc_id, string_agg('【' || rid || '】' || rule_text, chr(10) ORDER BY rn) AS text
+  FROM (SELECT *, (rn - 1) // 12 AS b FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY record_id) AS rn, coalesce({_or_null("rule_id")}, 'doc_' || record_id) AS rid FROM shaped)) GROUP BY source_name, b
+)"""
+
+
+def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    groups = chunking.group_rules(_ordered_rules(spark, d)).select(F.col("group_id").alias("document_id"), "source_name", "group_text")
+    return pipeline.extraction(cut(groups), Offline(16))
+
+
+@query(
+    f"""WITH RECURSIVE {_RULES}, {_GROUPED}, {_SPANS.replace("FROM documents", "FROM grouped")}
+SELECT doc_id AS document_id, name, {_canonical("entity_type", "name")} AS entity_type, CAST(arg_min(start_pos, start_pos) AS INTEGER) AS start_pos, CAST(arg_min(end_pos, start_pos) AS INTEGER) AS end_pos, CAST({DEFAULT.pattern_confidence} AS DOUBLE) AS confidence FROM spans GROUP BY ALL"""
+)
+def build_entities(spark, d):
+    """Both channels over groups of rules; the offline model says nothing, so the patterns decide."""
+    return _extracted(spark, d)[0].select("document_id", "name", "entity_type", "start_pos", "end_pos", "confidence")
+
+
+@query(
+    f"""WITH {_RULES}, {_GROUPED}, m AS (SELECT doc_id, k, predicate, subject_type, object_type, {_strip("s")} AS subject, {_strip("o")} AS object FROM ({_TRIPLES.replace("FROM documents", "FROM grouped")}))
+SELECT doc_id AS document_id, subject, predicate, object, arg_min(subject_type, k) AS subject_type, arg_min(object_type, k) AS object_type FROM m WHERE subject <> '' AND object <> '' GROUP BY doc_id, subject, predicate, object"""
+)
+def build_relations(spark, d):
+    return _extracted(spark, d)[1].select("document_id", "subject", "predicate", "object", "subject_type", "object_type")
+
+
+#: A span that overlaps the last kept one replaces it if it is surer; ``was`` is the one it replaces.
+_CHANNELS = """
+each_row AS (SELECT DISTINCT document_id, entity_id, name, entity_type, start_pos, end_pos, coalesce(confidence, 0.0) AS c FROM entities WHERE document_id IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY start_pos, end_pos, entity_id % 2, entity_id) AS n FROM each_row),
+r(document_id, n, last, e, c, taken, was) AS (
+  SELECT document_id, n, n, end_pos, c, true, CAST(NULL AS BIGINT) FROM n WHERE n = 1
+  UNION ALL
+  SELECT document_id, n, CASE WHEN taken THEN n ELSE last END, CASE WHEN taken THEN end_pos ELSE e END, CASE WHEN taken THEN c2 ELSE c END, taken, CASE WHEN taken AND meets THEN last END
+  FROM (SELECT n.document_id, n.n, r.last, r.e, r.c, n.end_pos, n.c AS c2, n.start_pos < r.e AND n.end_pos > l.start_pos AS meets, NOT (n.start_pos < r.e AND n.end_pos > l.start_pos) OR n.c > r.c AS taken
+    FROM r JOIN n ON n.document_id = r.document_id AND n.n = r.n + 1 JOIN n l ON l.document_id = r.document_id AND l.n = r.last)
+)
+"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHANNELS}
+SELECT n.document_id, CAST(row_number() OVER (PARTITION BY n.document_id ORDER BY n.c DESC, n.n) - 1 AS INTEGER) AS place, n.name, n.entity_type, n.start_pos, n.end_pos, n.c AS confidence
+FROM n JOIN r ON r.document_id = n.document_id AND r.n = n.n WHERE r.taken AND NOT EXISTS (SELECT 1 FROM r o WHERE o.document_id = n.document_id AND o.was = n.n)"""
+)
+def channel_union(spark, d):
+    """Entities of even ids as the model's channel and of odd ids as the patterns', merged by place and sureness."""
+    rows = table(spark, d, "entities").where("document_id is not null and start_pos is not null and end_pos is not null")
+    spans = rows.select("document_id", "entity_id", "name", "entity_type", "start_pos", "end_pos", F.coalesce("confidence", F.lit(0.0)).alias("confidence")).distinct()
+    return extract.combine_channels(spans.withColumns({"chan": F.col("entity_id") % 2, "ord": F.col("entity_id")}), "document_id")
+
+
+@query(
+    f"""WITH b AS (SELECT record_id, body::JSON AS body FROM rule_json)
+SELECT record_id, body->>'rule_name' AS rule_name, body->>'rule_text' AS rule_text, len(list_filter(coalesce(CAST(body->'elements' AS VARCHAR[]), []), lambda x: x IS NOT NULL)) AS elements, len(list_filter(coalesce(CAST(body->'rule_tags' AS VARCHAR[]), []), lambda x: x IS NOT NULL)) AS tags
+FROM b WHERE {_strip("body->>'rule_text'")} <> ''"""
+)
+def rule_answers(spark, d):
+    """Each rule's JSON as a model's list of rules: fenced, under ``rules``, or under ``data`` with words around."""
+    k, body = F.col("record_id") % 3, F.col("body")
+    shapes = [("```json\n[", "]\n```"), ('{"rules": [', "]}"), ('结果：{"data": [', ",]}。")]
+    answer = F.coalesce(*[F.when(k == i, F.concat(F.lit(x), body, F.lit(y))) for i, (x, y) in enumerate(shapes)])
+    rows = table(spark, d, "rule_json").select("record_id", F.explode(payload.parsed_rules(answer)).alias("r"))
+    return rows.select("record_id", "r.rule_name", "r.rule_text", F.size("r.elements").cast("long").alias("elements"), F.size("r.rule_tags").cast("long").alias("tags"))
+
+
+_MARK = '{"entities": [], "relations": []}'
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, unnest([title, text, CASE WHEN doc_id % 3 = 0 THEN '{_MARK}' END, CASE WHEN doc_id % 5 = 0 THEN 'alias_map' END]) AS v, generate_subscripts([1, 2, 3, 4], 1) AS i FROM documents),
+t AS (SELECT doc_id, i, {_strip("v")} AS v FROM s WHERE v IS NOT NULL)
+SELECT d.doc_id, md5(b.v) AS best_md5 FROM documents d LEFT JOIN (
+  SELECT doc_id, arg_max(v, (CASE WHEN contains(v, 'entities') AND contains(v, 'relations') THEN 5.0 ELSE 0.0 END + CASE WHEN contains(v, 'alias_map') OR contains(v, 'bridge_relations') THEN 4.0 ELSE 0.0 END
+    + CASE WHEN contains(v, '{{') AND contains(v, '}}') THEN 2.0 ELSE 0.0 END + least(length(v), 20000) / 20000.0, -i)) AS v FROM t WHERE v <> '' GROUP BY doc_id) b USING (doc_id)"""
+)
+def best_strings(spark, d):
+    strings = F.array("title", "text", F.when(F.col("doc_id") % 3 == 0, F.lit(_MARK)), F.when(F.col("doc_id") % 5 == 0, F.lit("alias_map")))
+    return table(spark, d, "documents").select("doc_id", F.md5(payload.best_string(strings)).alias("best_md5"))
+
+
+@query("SELECT DISTINCT relation_id, '根据上述文本，' || subject || predicate || object || '。' AS hypothesis FROM relations")
+def hypotheses(spark, d):
+    return table(spark, d, "relations").select("relation_id", resolve.hypothesis(F.col("subject"), F.col("predicate"), F.col("object")).alias("hypothesis")).distinct()
+
+
+@query("SELECT canon_id AS id, name AS text, 'Offline' AS model, 16 AS dim, document_id FROM canonical_entities WHERE length(trim(name)) > 0")
+def embedding_records(spark, d):
+    done = alias.embedding_records(table(spark, d, "canonical_entities"), "canon_id", "name", Offline(16), "Offline", ["document_id", "entity_type"])
+    return done.select("id", "text", "model", "dim", "source.document_id")
+
+
+@query(
+    f"""WITH {_GRAPH}, {_LINKED}, {_BACKFILL}, full_links AS (SELECT src_label, src_name, src_source, dst_name FROM clean WHERE type = '{packs.OF_TYPE}' AND dst_label = '{packs.TYPE_LABEL}' UNION SELECT src_label, src_name, src_source, dst_name FROM missing),
+k AS (SELECT DISTINCT src_label AS label, src_name AS name, src_source AS source_name, 1 AS linked FROM full_links WHERE dst_name = src_label), l(label) AS (VALUES {_LABEL_ROWS}),
+e AS (SELECT (SELECT count(*) FROM clean) + (SELECT count(*) FROM missing) AS edges)
+SELECT l.label, count(n.name) AS total, count(k.linked) AS linked, any_value(e.edges) AS edges FROM l CROSS JOIN e LEFT JOIN nodes n ON n.label = l.label LEFT JOIN k ON k.label = n.label AND k.name = n.name AND k.source_name = n.source_name GROUP BY l.label"""
+)
+def repair_job(spark, d):
+    """The link statistics after cleaning and filling in, and the number of edges then."""
+    full, _, after = graph.repair(*_faulty(spark, d))
+    return after.select("label", "total", "linked").join(full.agg(F.count(F.lit(1)).alias("edges")))
+
+
+@query(f"WITH {_V}, {_PROBE} SELECT vec_id, round(list_cosine_similarity(e, q), 6) AS similarity, 'chunk' AS tier FROM v, p ORDER BY list_cosine_similarity(e, q) DESC, vec_id LIMIT 10")
+def tiered_chunks(spark, d):
+    """A search where there is no rule at all, so that the chunks answer."""
+    rows = table(spark, d, "embeddings")
+    return search.tiered(rows.where("vec_id is null"), rows, "embedding", _probe(spark, d), "vec_id", 10).select("vec_id", F.round("similarity", 6).alias("similarity"), "tier")
+
+
+@query(f"WITH {_GRAPH} SELECT label, name, source_name, description, document_id FROM nodes")
+def graph_store(spark, d):
+    """The nodes merged into a store in three parts, by turns, and read back: the same as one upsert of all."""
+    store = graph.GraphStore(spark, shared_folder(spark, "store"), compact_after=2)
+    entities = cut(table(spark, d, "entities").where("name is not null and source_name is not null"))
+    bounds = entities.approxQuantile("entity_id", [1 / 3, 2 / 3], 0.05)
+    parts = [F.col("entity_id") < bounds[0], (F.col("entity_id") >= bounds[0]) & (F.col("entity_id") < bounds[1]), F.col("entity_id") >= bounds[1]] if bounds else []
+    for part in parts:
+        nodes, edges = graph.graph_of(entities.where(part), table(spark, d, "relations").limit(0))
+        store.merge(nodes.withColumn("seq", F.lit(0)), edges.withColumn("seq", F.lit(0)))
+    return store.read()[0].select("label", "name", "source_name", "description", "document_id")
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT 'statistics' AS section, name, n FROM (SELECT label AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT type, count(*) FROM edges GROUP BY ALL)
+UNION ALL SELECT 'totals', 'nodes', count(*) FROM nodes UNION ALL SELECT 'totals', 'edges', count(*) FROM edges UNION ALL SELECT 'edges_by_source', source_name, count(*) FROM edges GROUP BY source_name"""
+)
+def graph_summary(spark, d):
+    """What the summary says of counts: it comes as lists to the driver, as for the command line."""
+    got = graph.summary(*_graph(spark, d))
+    rows = [("totals", k, v) for k, v in got["totals"][0].items()] + [(s, r.get("name", r.get("source_name")), r["n"]) for s in ("statistics", "edges_by_source") for r in got[s]]
+    return spark.createDataFrame(rows, "section string, name string, n long")
+
+
+@query(f"WITH {_RULES} SELECT DISTINCT source_name, md5(rule_text) AS text_hash FROM shaped")
+def rule_stream(spark, d):
+    """The rules as JSON lines, read as a stream in one run, repeats of a source dropped."""
+    folder = shared_folder(spark, "stream")
+    rows = _rules(spark, d).select("rule_id", "rule_name", "rule_text", "elements", "rule_tags", F.col("source_name").alias("rule_source"), F.lit("2031-01-01 00:00:00").cast("timestamp").alias("loaded_at"))
+    rows.write.json(f"{folder}/in")
+    stream = streaming.rule_stream(spark, f"{folder}/in").select("source_name", "text_hash")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

@@ -13,6 +13,7 @@ from planweave.functions import packs, payload, prompts
 from planweave.functions.text import admissible, semantic_elements
 from planweave.operators import alias, chunking, extract, graph, ontology, resolve
 from planweave.session import cut
+from planweave.sources import sinks
 from planweave.sources.providers import Offline, Provider, ask, entailment, trace
 from planweave.sources.readers import read_docx, shape_rules
 
@@ -41,11 +42,12 @@ def extract_rules(chunks: DataFrame, provider: Provider) -> DataFrame:
 
 
 def rules_from_documents(spark: SparkSession, folder: str, out: str, provider: Provider | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """From .docx files to rules: sections, chunks, rules, and both embedded; tables ``chunks``, ``rules`` under ``out``. Gives the rules."""
+    """From .docx files to rules: sections, chunks, rules, and both embedded; tables ``chunks``, ``rules`` under ``out``, and the rules as JSON lines under ``rules_json``. Gives the rules."""
     provider = provider or Offline(config.embedding_dim)
     chunks = cut(chunking.paragraph_chunks(read_docx(spark, folder).where("error is null"), config.paragraph_tokens))
     rules = cut(extract_rules(chunks, provider))
     model = type(provider).__name__
+    sinks.write_json(rules, f"{out.rstrip('/')}/rules_json")
     alias.embedding_records(chunks.withColumn("id", F.concat_ws("#", "document", "chunk_index")), "id", "chunk_text", provider, model, ["document", "chunk_index"], config.embedding_batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/chunks")
     alias.embedding_records(rules.withColumn("id", F.concat_ws("#", "document", "rule_id")), "id", "rule_text", provider, model, ["document", "rule_name"], config.embedding_batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/rules")
     return rules
@@ -93,18 +95,13 @@ class Built:
     before: DataFrame
     after: DataFrame
     traces: DataFrame
+    embeddings: DataFrame
+    results: DataFrame
     report: str
 
 
-def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = None, config: EngineConfig = DEFAULT) -> Built:
-    """The graph of rules with columns RULE, ``source_name`` and ``ord``.
-
-    Model answers are written once to the checkpoint folder and read from there, since they are dear and may
-    differ between calls. A failing call leaves its document with what the patterns find.
-    """
-    began = time.time()
-    provider = provider or Offline(config.embedding_dim)
-    groups = cut(chunking.group_rules(shape_rules(rules), config.group_size).select(F.col("group_id").alias("document_id"), "source_name", "members", "group_text"))
+def extraction(groups: DataFrame, provider: Provider, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities and relations of ``(document_id, source_name, group_text)``, by the model's channel and the patterns', and the model calls themselves."""
     spans = extract.entity_spans(groups, "document_id", "group_text")
     wanted = groups.select("document_id", "source_name", prompts.extraction(F.col("group_text"), F.array().cast("array<string>")).alias("prompt"), "group_text")
     asked = cut(ask(wanted, provider))
@@ -125,8 +122,23 @@ def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = Non
     )
     both = by_model.unionByName(by_pattern).withColumn("relation_id", F.col("chan").cast("long") * (1 << 40) + F.shiftrightunsigned(F.xxhash64("subject", "predicate", "object"), 25)).withColumn("chunk_index", F.lit(0))
     relations = extract.dedupe_relations(both, config.relation_confidence).join(sources, "document_id")
+    return entities, relations, asked
+
+
+def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = None, config: EngineConfig = DEFAULT) -> Built:
+    """The graph of rules with columns RULE, ``source_name`` and ``ord``.
+
+    Model answers are written once to the checkpoint folder and read from there, since they are dear and may
+    differ between calls. A failing call leaves its document with what the patterns find.
+    """
+    began = time.time()
+    provider = provider or Offline(config.embedding_dim)
+    groups = cut(chunking.group_rules(shape_rules(rules), config.group_size).select(F.col("group_id").alias("document_id"), "source_name", "members", "group_text"))
+    entities, relations, asked = extraction(groups, provider, config)
+    sources = groups.select("document_id", "source_name")
     embedded = alias.embed(entities.select("document_id", "entity_type", "name", "entity_id").withColumn("block", F.concat_ws("\u0001", "document_id", "entity_type")).withColumn("key", F.xxhash64("block", "name")), "name", provider, config.embedding_batch)
-    pairs = cut(alias.alias_map(cut(embedded), "block", "key", "name", "embedding", config.alias_similarity, config.neighbours)).select(F.substring_index("block", "\u0001", 1).alias("document_id"), "alias", "canonical")
+    embedded = cut(embedded)
+    pairs = cut(alias.alias_map(embedded, "block", "key", "name", "embedding", config.alias_similarity, config.neighbours)).select(F.substring_index("block", "\u0001", 1).alias("document_id"), "alias", "canonical")
     pairs = pairs.groupBy("document_id", "alias").agg(F.max("canonical").alias("canonical"))
     consolidated = consolidate(entities, relations, provider)
     pairs = resolve.merge_maps(consolidated.alias_pairs, pairs).where("alias <> canonical")
@@ -146,19 +158,46 @@ def build(spark: SparkSession, rules: DataFrame, provider: Provider | None = Non
     repaired, before, after = graph.repair(every_node, cut(with_links))
     kept_nodes, kept_edges = graph.prune(every_node, cut(repaired))
     plan_nodes, plan_edges = ontology.plan_graph(spark)
-    anchors = ontology.anchor_edges(kept_nodes, ontology.plan_nodes(spark), n_plans=len(packs.PLANS))
+    anchors = ontology.anchor_edges(kept_nodes, ontology.plan_nodes(spark))
     kept_nodes = cut(kept_nodes.unionByName(plan_nodes, allowMissingColumns=True))
     final_edges = cut(kept_edges.unionByName(anchors, allowMissingColumns=True).unionByName(plan_edges, allowMissingColumns=True))
     traces = trace(asked, type(provider).__name__)
-    report = report_text(run_counters(entities, relations.withColumn("relation_id", F.xxhash64("subject", "predicate", "object"))), kept_nodes, final_edges, after, time.time() - began)
-    return Built(groups, entities, all_relations, kept_nodes, final_edges, before, after, traces, report)
-
-
-def report_text(counters: DataFrame, nodes: DataFrame, edges: DataFrame, links: DataFrame, seconds: float) -> str:
-    """The report in Markdown; counts by label and type after the 200th are one sum for each kind."""
+    results = cut(document_results(groups, entities, all_relations, asked))
+    records = alias.records_of(embedded.join(sources, "document_id"), "key", "name", type(provider).__name__, ["document_id", "entity_type", "source_name"])
+    counters = run_counters(entities, relations.withColumn("relation_id", F.xxhash64("subject", "predicate", "object")))
+    report = report_text(counters, kept_nodes, final_edges, after, time.time() - began, results)
+    return Built(groups, entities, all_relations, kept_nodes, final_edges, before, after, traces, records, results, report)
+
+
+def document_results(groups: DataFrame, entities: DataFrame, relations: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(document_id, source_name, entities, relations, status, seconds)`` of every document; ``status`` and ``seconds`` are those of its model call, null where it had none."""
+    count = F.count(F.lit(1))
+    e = entities.groupBy("document_id").agg(count.alias("entities"))
+    r = relations.groupBy("document_id").agg(count.alias("relations"))
+    calls = asked.groupBy("document_id").agg(F.max("status").alias("status"), F.sum("seconds").alias("seconds"))
+    joined = groups.select("document_id", "source_name").join(e, "document_id", "left").join(r, "document_id", "left").join(calls, "document_id", "left")
+    return joined.na.fill(0, ["entities", "relations"]).select("document_id", "source_name", "entities", "relations", "status", "seconds")
+
+
+def write_outputs(built: Built, folder: str) -> None:
+    """What a run leaves besides the graph: results, entities and relations by document, entity embeddings, the trace of calls and the report."""
+    root = folder.rstrip("/")
+    sinks.write_per_document(built.results, built.entities, built.relations, root)
+    built.embeddings.write.mode("overwrite").parquet(f"{root}/entity_embeddings")
+    sinks.write_trace(built.traces, f"{root}/trace")
+    sinks.write_text(built.report, f"{root}/report.md")
+
+
+def report_text(counters: DataFrame, nodes: DataFrame, edges: DataFrame, links: DataFrame, seconds: float, results: DataFrame | None = None) -> str:
+    """The report in Markdown: counters, seconds a document, all counts by label and type, type edges, and how many documents ended how."""
     c = counters.first().asDict()
-    lines = ["# Build report", "", f"- documents: {c['documents']}, succeeded {c['succeeded']}, failed {c['failed']}, rate {c['success_rate']}", f"- entities: {c['entities']}, relations: {c['relations']}", f"- seconds: {seconds:.1f}, documents a second: {c['documents'] / seconds if seconds else 0:.2f}", "", "## Graph", ""]
-    counts = graph.first_rows(graph.statistics(nodes, edges), ["kind", F.desc("n"), "name"], ["kind"], 200)
-    lines += [f"- {r['rest']} more of kind {r['kind']}: {r['n']}" if "rest" in r else f"- {r['kind']} {r['name']}: {r['n']}" for r in counts]
+    n = c["documents"]
+    lines = ["# Build report", "", f"- documents: {n}, succeeded {c['succeeded']}, failed {c['failed']}, rate {c['success_rate']}", f"- entities: {c['entities']}, relations: {c['relations']}"]
+    lines += [f"- seconds: {seconds:.1f}, documents a second: {n / seconds if seconds else 0:.2f}, seconds a document: {seconds / n if n else 0:.3f}"]
+    if results is not None:
+        calls = results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), F.max("seconds").alias("most")).orderBy("status").collect()
+        lines += ["", "## Model calls", ""] + [f"- {r['status']}: {r['n']} documents, {r['mean'] or 0:.3f} seconds on average, {r['most'] or 0:.3f} at most" for r in calls]
+    lines += ["", "## Graph", ""]
+    lines += [f"- {r['kind']} {r['name']}: {r['n']}" for r in graph.statistics(nodes, edges).orderBy("kind", F.desc("n"), "name").toLocalIterator()]
     lines += ["", "## Type edges", ""] + [f"- {r['label']}: {r['linked']} of {r['total']}, missing {r['missing']}" for r in links.orderBy("label").collect()]
     return "\n".join(lines) + "\n"

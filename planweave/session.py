@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -87,6 +88,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(own)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the shared folder, for tables that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the copy, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planweave.functions.payload import pick_string
+
 
 class Provider(Protocol):
     def chat(self, prompt: str, system: str = "", temperature: float = 0.3) -> str: ...
@@ -68,11 +71,15 @@ class Http:
     timeout: float = 30.0
     attempts: int = 3
     max_tokens: int = 4096
+    #: Ask for a JSON object; off for services that do not know the setting.
+    json_answers: bool = True
+    #: Address of a text-pair classifier; without one entailment is asked of the chat model.
+    entailment_url: str = ""
 
     def _post(self, path: str, body: dict) -> dict:
         for k in range(self.attempts):
             try:
-                request = urllib.request.Request(self.url.rstrip("/") + path, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+                request = urllib.request.Request(path if "://" in path else self.url.rstrip("/") + path, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
                 with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
                     return json.load(answer)
             except (urllib.error.URLError, TimeoutError, json.JSONDecodeError):
@@ -82,25 +89,79 @@ class Http:
         raise AssertionError
 
     def chat(self, prompt: str, system: str = "", temperature: float = 0.3) -> str:
+        """The content of the answer; where that is empty, the string of the whole answer that most looks like a payload."""
+        return self._answer(prompt, system, temperature, self.json_answers)
+
+    def _answer(self, prompt: str, system: str, temperature: float, as_json: bool) -> str:
         messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": prompt}]
-        got = self._post("/chat/completions", {"model": self.model, "messages": messages, "temperature": temperature, "max_tokens": self.max_tokens, "stream": False})
-        return got["choices"][0]["message"].get("content") or ""
+        body = {"model": self.model, "messages": messages, "temperature": temperature, "max_tokens": self.max_tokens, "stream": False}
+        if as_json:
+            body["response_format"] = {"type": "json_object"}
+        choice = self._post("/chat/completions", body)["choices"][0]
+        content = (choice.get("message") or {}).get("content")
+        return content if isinstance(content, str) and content.strip() else pick_string({k: v for k, v in (choice.get("message") or {}).items() if k != "role"})
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         got = self._post("/embeddings", {"model": self.embedding_model or self.model, "input": texts})
         return [x["embedding"] for x in sorted(got["data"], key=lambda x: x["index"])]
 
     def entail(self, premise: str, hypothesis: str) -> float:
-        return float(self.chat(f"前提：{premise}\n假设：{hypothesis}\n只回答蕴含概率（0到1的小数）。", temperature=0.0))
+        if self.entailment_url:
+            try:
+                return entailment_score(self._post(self.entailment_url, {"inputs": {"text": premise, "text_pair": hypothesis}}))
+            except Exception:  # noqa: BLE001 - a judge that cannot be reached says nothing
+                return 0.0
+        said = re.search(r"\d*\.?\d+", self._answer(f"前提：{premise}\n假设：{hypothesis}\n只回答蕴含概率（0到1的小数）。", "", 0.0, False))
+        return min(1.0, float(said[0])) if said else 0.0
 
     def healthy(self) -> bool:
         try:
-            return bool(self.chat("ping"))
+            return bool(self._answer("ping", "", 0.3, False))
         except Exception:  # noqa: BLE001
             return False
 
 
-REGISTRY: dict[str, Callable[..., Provider]] = {"offline": Offline, "http": Http}
+def entailment_score(answer) -> float:
+    """The largest score of a label that speaks of entailment, in a list of ``{label, score}`` nested however deep; 0 for none."""
+    if isinstance(answer, dict) and "label" in answer:
+        return float(answer.get("score") or 0.0) if "entail" in str(answer["label"]).lower() else 0.0
+    parts = answer.values() if isinstance(answer, dict) else answer if isinstance(answer, (list, tuple)) else ()
+    return max(map(entailment_score, parts), default=0.0)
+
+
+@dataclass
+class Classifier(Offline):
+    """Entailment by a sequence-pair classifier that lies on the executors' disks; everything else as offline.
+
+    The model is loaded at the first call in each Python worker and kept. Without the library or the model
+    every pair scores 0, so that no bridge is taken on trust.
+    """
+
+    path: str = ""
+    loaded: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"loaded": {}}
+
+    def _model(self) -> Callable | None:
+        if "model" not in self.loaded:
+            try:
+                from transformers import pipeline  # not a requirement
+
+                self.loaded["model"] = pipeline("text-classification", model=self.path, top_k=None)
+            except Exception:  # noqa: BLE001
+                self.loaded["model"] = None
+        return self.loaded["model"]
+
+    def entail(self, premise: str, hypothesis: str) -> float:
+        model = self._model()
+        try:
+            return entailment_score(model({"text": premise, "text_pair": hypothesis})) if model else 0.0
+        except Exception:  # noqa: BLE001
+            return 0.0
+
+
+REGISTRY: dict[str, Callable[..., Provider]] = {"offline": Offline, "http": Http, "classifier": Classifier}
 
 
 def create(name: str, **settings) -> Provider:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import packs
@@ -40,8 +40,12 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     ``ord`` follows the order of files by name and of records in a file, since every first-wins step depends on it.
     """
     raw = spark.read.option("multiLine", True).option("ignoreCorruptFiles", True).option("columnNameOfCorruptRecord", "_bad").schema(RULE + ", _bad string").json(path)
-    rows = with_source(raw.withColumn("file", F.input_file_name()), F.col("file")).where("_bad is null").drop("_bad")
-    return rows.withColumn("ord", F.monotonically_increasing_id()).drop("file")
+    # a file of several lines is read whole by one task, so the low bits of the row number follow the order in the file
+    placed = raw.withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = with_source(placed, F.col("file")).where("_bad is null").drop("_bad")
+    by_name = Window.orderBy(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))
+    files = raw.select(F.input_file_name().alias("file")).distinct().withColumn("rank", F.row_number().over(by_name) - 1)
+    return rows.join(files, "file").withColumn("ord", F.col("rank").cast("long") * (1 << 33) + F.col("at")).drop("file", "rank", "at")
 
 
 def shape_rules(rules: DataFrame) -> DataFrame:

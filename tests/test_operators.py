@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from planweave.functions import packs, payload, text, vectors
-from planweave.operators import alias, chunking, extract, graph, ontology, resolve, search
+from planweave.operators import alias, chunking, extract, graph, ontology, resolve, search, skew
 from planweave.plans import pipeline
 from planweave.sources import providers, readers, sinks
 
@@ -257,12 +257,12 @@ def test_depths_of_a_long_chain(spark):
     assert got == {f"n{i}": i for i in range(n + 1)}
 
 
-def test_anchor_both_ways_agree(spark):
+def test_anchor_equals_containment(spark):
     sources = spark.createDataFrame([("某市防汛抗旱应急预案汇编",), ("防汛",), ("无关",), (None,)], "source_name string")
     plans = spark.createDataFrame([("防汛抗旱应急预案",), ("防汛",), ("抗旱应急",), ("",)], "name string")
-    small = {tuple(r) for r in ontology.anchor(sources, plans).select("source_name", "plan").collect()}
-    large = {tuple(r) for r in ontology.anchor(sources, plans, n_plans=10**9).select("source_name", "plan").collect()}
-    assert small == large and len(small) == 4
+    got = {tuple(r) for r in ontology.anchor(sources, plans).select("source_name", "plan").collect()}
+    want = {(s, p) for (s,) in map(tuple, sources.collect()) for (p,) in map(tuple, plans.collect()) if s and p and p in s}
+    assert got == want and len(got) == 4
 
 
 def test_bridge_thresholds(spark):
@@ -446,16 +446,13 @@ def test_summary_loses_no_count(spark, tmp_path):
     rows = [("任务", f"n{i}", f"s{i % 7}") for i in range(30)] + [("地点", f"m{i}", "s0") for i in range(5)]
     nodes = spark.createDataFrame(rows, "label string, name string, source_name string").withColumns({"description": F.lit(""), "aliases": F.array().cast("array<string>"), "document_id": F.lit("d"), "chunk_index": F.lit(0)})
     edges = spark.createDataFrame([("任务", f"n{i}", f"s{i % 7}", f"T{i % 11}", "任务", "n0", "s0", f"s{i % 7}", True) for i in range(30)], "src_label string, src_name string, src_source string, type string, dst_label string, dst_name string, dst_source string, source_name string, is_bridge boolean")
-    whole, part = graph.summary(nodes, edges), graph.summary(nodes, edges, most=3, tables=str(tmp_path))
-    for name, (by, kinds) in graph.OPEN.items():
-        assert part[name][:3] == whole[name][:3] == sorted(whole[name], key=lambda r: (-r["n"], *[(r[c] is not None, r[c] or 0) if c == "level" else (r[c] is not None, r[c] or "") for c in by]))[:3]
-        of = lambda rows, kind: sum(r["n"] for r in rows if tuple(r[c] for c in kinds) == kind)
-        for kind in {tuple(r[c] for c in kinds) for r in whole[name]}:
-            assert of(part[name], kind) == of(whole[name], kind)
-        assert sum(r.get("rest", 1) for r in part[name]) == len(whole[name]) == spark.read.json(f"{tmp_path}/{name}").count()
-    many = spark.range(250).selectExpr("concat('l', id) as label")
+    whole, part = graph.summary(nodes, edges), graph.summary(nodes, edges, tables=str(tmp_path))
+    for name in graph.OPEN:
+        assert [r["n"] for r in whole[name]] == sorted((r["n"] for r in whole[name]), reverse=True)
+        assert part[name] == [{"table": f"{tmp_path}/{name}", "rows": len(whole[name])}] and spark.read.json(f"{tmp_path}/{name}").agg(F.sum("n")).first()[0] == sum(r["n"] for r in whole[name])
+    many = spark.range(10_500).selectExpr("concat('l', id) as label")
     text = pipeline.report_text(spark.createDataFrame([(1, 1, 0, 1.0, 1, 1)], "documents int, succeeded int, failed int, success_rate double, entities int, relations int"), many, edges, graph.link_statistics(nodes, edges), 1.0)
-    assert "- 50 more of kind label: 50" in text and "- 11 more of kind type: 30" in text
+    assert text.count("- label l") == 10_500 and text.count("- type T") == 11 and "seconds a document: 1.000" in text
 
 
 def test_command_line_gives_every_row_of_a_name(spark, tmp_path, capsys):
@@ -474,6 +471,71 @@ def test_command_line_gives_every_row_of_a_name(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"nodes": [], "relations": []}
 
 
+def test_store_adds_and_compacts(spark, tmp_path):
+    """A merge writes what it adds and nothing else, and reading gives the same as one upsert of all."""
+    folder = tmp_path / "g"
+    store = graph.GraphStore(spark, str(folder), compact_after=3)
+    schema = "label string, name string, source_name string, seq long, description string"
+    edges = spark.createDataFrame([], "src_label string, src_name string, src_source string, type string, dst_label string, dst_name string, dst_source string, seq long, confidence double")
+    batches = [[("任务", f"n{i % (3 + b)}", "s", i, f"b{b}i{i}") for i in range(6)] for b in range(5)]
+    for b, rows in enumerate(batches):
+        v = store.merge(spark.createDataFrame(rows, schema), edges)
+        written = spark.read.parquet(str(folder / f"nodes/v={b if b < 2 else b}"))
+        assert written.count() <= 3 + b
+        assert v == (b if b < 2 else b + 1)
+    want = {}
+    for rows in batches:
+        for _, name, _, _, text in rows:
+            want[name] = text
+    assert {r["name"]: r["description"] for r in store.read()[0].collect()} == want
+    assert [w for _, w in store._versions()] == [False, False, False, True, False, False]
+
+
+def test_hub_and_star_are_looked_up_apart(spark, monkeypatch):
+    """A name in a third of all relations, and a vertex with half of all links, give the same with and without the hot path."""
+    nodes = spark.createDataFrame([("任务", f"n{i}", "s") for i in range(50)] + [("地点", "n0", "s")], "label string, name string, source_name string")
+    rels = spark.createDataFrame([(f"n{0 if i % 3 == 0 else i % 50}", "在", f"n{i % 47}", "s" if i % 5 else None, i) for i in range(900)], "subject string, predicate string, object string, source_name string, relation_id long")
+    links = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 420)], "a long, b long")
+    plain = sorted(map(tuple, graph.resolve_edges(rels, nodes).select(*graph.EDGE_KEY, "relation_id").collect())), sorted(map(tuple, alias.components(links).collect()))
+    monkeypatch.setattr(skew, "hot_threshold", lambda total, share=0, least=0: 40)
+    hot = sorted(map(tuple, graph.resolve_edges(rels, nodes).select(*graph.EDGE_KEY, "relation_id").collect())), sorted(map(tuple, alias.components(links).collect()))
+    assert plain == hot and len(plain[0]) > 900
+
+
+def test_rule_files_in_order_of_name(spark, tmp_path):
+    """A large late file and a small early one: order follows the names, then the place in the file."""
+    for name, n in (("c.json", 3), ("b+ 二.json", 400), ("a.json", 1)):
+        (tmp_path / name).write_text(json.dumps([{"rule_id": f"{name[0]}{k:03}", "rule_text": "应当巡查"} for k in range(n)], ensure_ascii=False), encoding="utf-8")
+    got = [r["rule_id"] for r in readers.read_rules(spark, f"{tmp_path}/*.json").orderBy("ord").collect()]
+    assert got == ["a000"] + [f"b{k:03}" for k in range(400)] + [f"c{k:03}" for k in range(3)]
+
+
+def test_best_string_is_bounded_in_length(spark):
+    good = '{"entities": [], "relations": []}'
+    rows = spark.createDataFrame([([good, "z" * 200_000],), ([" ", ""],), ([],), ([good, '{"alias_map": {}}'],)], "v array<string>")
+    assert [r[0] for r in rows.select(payload.best_string(F.col("v"))).collect()] == [good, None, None, good]
+    assert payload.pick_string({"a": ["z" * 200_000, {"b": good}], "c": 3}) == good and payload.pick_string([None, " "]) == ""
+
+
+def test_chat_over_http(monkeypatch):
+    """JSON is asked for, an empty content is replaced by the best string of the answer, and entailment reads labels."""
+    sent = []
+
+    def post(self, path, body):
+        sent.append((path, body))
+        if path == "http://judge":
+            return [[{"label": "ENTAILMENT", "score": 0.7}, {"label": "neutral", "score": 0.9}, {"label": "weak-entail", "score": 0.8}]]
+        return {"choices": [{"message": {"role": "assistant", "content": None if body["messages"][-1]["content"] == "empty" else "0.25", "reasoning": 'so {"entities": [], "relations": []}'}}]}
+
+    monkeypatch.setattr(providers.Http, "_post", post)
+    client = providers.create("http", url="http://x", model="m")
+    assert client.chat("empty") == 'so {"entities": [], "relations": []}' and sent[-1][1]["response_format"] == {"type": "json_object"}
+    assert client.entail("a", "b") == 0.25 and "response_format" not in sent[-1][1]
+    assert providers.create("http", url="http://x", model="m", entailment_url="http://judge").entail("a", "b") == 0.8
+    assert providers.create("classifier", path="/nowhere").entail("a", "b") == 0.0
+    assert providers.entailment_score({"label": "contradiction", "score": 1}) == 0.0
+
+
 def test_upsert_is_idempotent_and_order_free(spark):
     rnd = random.Random(12)
     rows = [(rnd.choice("ab"), rnd.choice("xyz"), "s", i, rnd.choice([None, f"d{i}"])) for i in range(60)]
