@@ -71,8 +71,12 @@ def copy_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
-    """``(keep_id, copies)``: one record for each set of copies, with the number of its copies."""
-    return copy_sets(rows)[1].select("keep_id", "copies")
+    """``(keep_id, copies, rule_name, rule_text)``: one record for each set of copies, with the number of its copies.
+
+    The record is the one of the smallest id, as it stands; should that id come with several contents, the least of them.
+    """
+    kept = copy_sets(rows)[1].select("keep_id", "copies").join(rows.select(F.col("record_id").alias("keep_id"), F.struct("rule_name", "rule_text").alias("r")), "keep_id")
+    return kept.groupBy("keep_id", "copies").agg(F.min("r").alias("r")).select("keep_id", "copies", "r.rule_name", "r.rule_text")
 
 
 def found(rows: DataFrame) -> DataFrame:

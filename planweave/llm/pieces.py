@@ -1,8 +1,8 @@
 """Problem 3: splitting oversized items at natural boundaries by content-defined chunking.
 
 A rolling hash over a short window marks landmarks that depend on nothing but the characters around them. The cut
-after each piece is the natural boundary nearest to the first landmark within the allowed range of lengths, so an
-edit moves the cuts of its own piece and perhaps of the next ones, until both versions meet at the same landmark
+after each piece is a natural boundary within the allowed range of lengths: of the strongest kind that the range holds
+(line end, sentence end, clause end, blank) the one nearest to the first landmark there. So an edit moves the cuts of its own piece and perhaps of the next ones, until both versions meet at the same landmark
 again; all others stay.
 """
 

@@ -124,6 +124,6 @@ ORACLE: dict[str, str] = {
     "p1_found": _GROUPS + "SELECT group_id, id AS canon_id FROM g WHERE id <> group_id",
     "p3_found": f"SELECT DISTINCT item_kind, item_id FROM ({_ITEMS}) WHERE length(text) > 1000",
     "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p4_collapsed": _COPIES + "SELECT keep_id, copies FROM g",
+    "p4_collapsed": _COPIES + "SELECT keep_id, copies, rule_name, rule_text FROM g JOIN r ON r.record_id = g.keep_id",
     "p4_found": _COPIES + "SELECT DISTINCT keep_id, record_id FROM k JOIN g USING (n, t) WHERE record_id > keep_id",
 }

@@ -118,7 +118,7 @@ def test_jaro_winkler_decides(spark, monkeypatch):
     """With another similarity other names are the same, in Han as in Latin letters."""
     names.use_readings(names.readings(spark))
     near = [("临河湾县交通运输局", "临河湾县交通运输居", ORG), ("临河湾县交通运输局", "临河湾县交通输运局", ORG), ("彭志鹏", "彭致鹏", PER), ("Margaret Oakley", "Matgaret Oakley", PER), ("Oakmere District Water Supply Authority", "Oakmere Disttict Water Suply Authority", ORG)]
-    far = [("临河湾县交通运输局", "临河湾县民政救助局", ORG), ("彭志鹏", "彭志强", PER), ("Margaret Oakley", "Martha Oakden", PER), ("Oakmere District Water Supply Authority", "Oakmere District Mine Rescue Unit", ORG)]
+    far = [("临河湾县交通运输局", "河临县湾通交运输局", ORG), ("彭志鹏", "彭志强", PER), ("Margaret Oakley", "Rgamrate Oakley", PER), ("Oakmere District Water Supply Authority", "Oakmere District Mine Rescue Unit", ORG)]
 
     def verdicts(rows):
         return [names.compare(names.Name(a, t == PER), names.Name(b, t == PER)) for a, b, t in rows]
