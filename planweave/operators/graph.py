@@ -6,6 +6,10 @@ sets; nothing is done node by node.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from planweave.functions import packs
 from planweave.functions.text import canonical_type, relation_type
 from planweave.operators.skew import lookup_counted
 
+log = logging.getLogger(__name__)
+
 NODE_KEY = ["label", "name", "source_name"]
 EDGE_KEY = ["src_label", "src_name", "src_source", "type", "dst_label", "dst_name", "dst_source"]
 FLAGS = ["is_bridge", "is_meta", "stat_edge", "is_llm_generated"]
@@ -325,16 +331,15 @@ class GraphStore:
     def __init__(self, spark: SparkSession, path: str, compact_after: int = 16):
         self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def _versions(self) -> list[tuple[int, bool]]:
-        """``(version, whole)`` in order."""
-        fs, path = self._pointer()
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted((int(n.rstrip("+")), not n.endswith("+")) for n in names)
+        """``(version, whole)`` in order: one line for each write that ended."""
+        try:
+            rows = self.spark.read.schema("v long, whole boolean").json(f"{self.path}/_written").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return sorted((r["v"], r["whole"]) for r in rows)
 
     def version(self) -> int:
         return max((v for v, _ in self._versions()), default=-1)
@@ -363,8 +368,8 @@ class GraphStore:
         v = self.version() + 1
         nodes.write.mode("overwrite").parquet(f"{self.path}/nodes/v={v}")
         edges.write.mode("overwrite").parquet(f"{self.path}/edges/v={v}")
-        fs, path = self._pointer()
-        fs.mkdirs(path.suffix(f"/{v}" + "+" * (not whole)))  # only now does the version exist
+        line = self.spark.createDataFrame([(v, whole)], "v long, whole boolean")
+        line.coalesce(1).write.mode("append").json(f"{self.path}/_written")  # only now does the version exist
         return v
 
     def merge(self, nodes: DataFrame, edges: DataFrame, seq: str = "seq") -> int:
@@ -372,6 +377,18 @@ class GraphStore:
         v = self.write(upsert_nodes(None, nodes, seq), upsert_edges(None, edges, seq), whole=False)
         return self.write(*self.read()) if sum(not w for _, w in self._current()) >= self.compact_after else v
 
+    def merge_all(self, parts: Iterable[tuple[DataFrame, DataFrame]], seq: str = "seq") -> int:
+        """Merges one after another; the first that fails ends it, what was merged stays. Gives the number merged."""
+        done = 0
+        for nodes, edges in parts:
+            try:
+                self.merge(nodes, edges, seq)
+            except Exception as e:  # noqa: BLE001
+                log.warning("part %d is not merged: %s", done, str(e)[:300])
+                break
+            done += 1
+        return done
+
     def clear(self) -> int:
         old = self.read()
         return self.version() if old is None else self.write(old[0].limit(0), old[1].limit(0))

@@ -710,7 +710,7 @@ def _hub(spark, d, edges) -> str:
 
 def _lookup(direction: str, where: str, kind: str | None = None):
     def run(spark, d):
-        _, edges = _graph(spark, d)
+        edges = cut(_graph(spark, d)[1])
         return graph.lookup_relations(edges, _hub(spark, d, edges), direction, kind)
 
     run.__name__ = f"relation_lookup_{direction}" + ("_kind" if kind else "")
@@ -727,7 +727,7 @@ _lookup("both", "src_name = (SELECT name FROM hub) OR dst_name = (SELECT name FR
 @query(f"WITH {_TOP} SELECT label, name, source_name FROM nodes WHERE name = (SELECT name FROM hub)")
 def entity_lookup(spark, d):
     nodes, edges = _graph(spark, d)
-    return graph.lookup_entity(nodes, _hub(spark, d, edges)).select("label", "name", "source_name")
+    return graph.lookup_entity(nodes, _hub(spark, d, cut(edges))).select("label", "name", "source_name")
 
 
 @query(f"WITH {_GRAPH}, {_ENDS} SELECT label, name, source_name, count(*) AS degree FROM ends GROUP BY ALL")

@@ -491,6 +491,13 @@ def test_store_adds_and_compacts(spark, tmp_path):
     assert [w for _, w in store._versions()] == [False, False, False, True, False, False]
 
 
+def test_merging_ends_at_the_first_failure(spark, tmp_path):
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    nodes = spark.createDataFrame([("任务", "n", "s", 1)], "label string, name string, source_name string, seq long")
+    edges = spark.createDataFrame([], "src_label string, src_name string, src_source string, type string, dst_label string, dst_name string, dst_source string, seq long, confidence double")
+    assert store.merge_all([(nodes, edges), (nodes.drop("label"), edges), (nodes, edges)]) == 1 and store.read()[0].count() == 1
+
+
 def test_hub_and_star_are_looked_up_apart(spark, monkeypatch):
     """A name in a third of all relations, and a vertex with half of all links, give the same with and without the hot path."""
     nodes = spark.createDataFrame([("任务", f"n{i}", "s") for i in range(50)] + [("地点", "n0", "s")], "label string, name string, source_name string")
