@@ -38,8 +38,8 @@ def load(path: str):
     return _loaded[path]
 
 
-#: A word above this many positions, if it is also above the share of ``lookup``, goes through the broadcast; so at most 1,000 do.
-HOT_WORDS = 2_000
+#: A word of at most HOT_LENGTH signs goes through the broadcast if it has more than HOT_WORDS positions and more than HOT_SHARE of all; so at most 10,000 words do, some megabytes whatever the data.
+HOT_WORDS, HOT_SHARE, HOT_LENGTH = 2_000, 0.0001, 64
 
 
 def words(documents: DataFrame) -> DataFrame:
@@ -64,8 +64,9 @@ def encode_words(distinct: DataFrame, path: str) -> DataFrame:
 def _looked_up(positions: DataFrame, path: str, wanted: list[str]) -> DataFrame:
     """The positions with columns of their words, each distinct word of the corpus being encoded once."""
     vocabulary = cut(encode_words(positions.groupBy("word").agg(F.count(F.lit(1)).alias("n")), path))
-    total, most = vocabulary.agg(F.sum("n"), F.max("n")).first()
-    return lookup(positions, vocabulary.select("word", "n", *wanted), "word", "n", total or 0, most or 0, least=HOT_WORDS)
+    values = vocabulary.select("word", F.when(F.length("word") <= HOT_LENGTH, F.col("n")).otherwise(0).alias("n"), *wanted)
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    return lookup(positions, values, "word", "n", total, total, HOT_SHARE, HOT_WORDS)
 
 
 def encode(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
