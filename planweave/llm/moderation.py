@@ -39,6 +39,8 @@ THRESHOLD = 0.5
 SLIP = 0.05
 #: How much more a segment's share of a label counts than a document that holds it without one.
 BOOST = 6.0
+#: The least number of steps of a training, so that few labels are learnt too: small sets are gone through more often.
+STEPS = 400
 #: So many n-grams without a say are added to each bag that is scored, so that a word or two alone decide nothing.
 PAD = 4
 
@@ -124,11 +126,12 @@ class Model:
         self.b = np.zeros(len(CLASSES), np.float32)
 
     def fit(self, parts: list[str], target: np.ndarray, weights: np.ndarray, epochs: int, rate: float = 0.15, batch: int = 256, seed: int = 11) -> None:
-        """Adagrad on minibatches of distinct segments; ``target`` has a row of class shares for each, ``weights`` are how much each counts."""
+        """Adagrad on minibatches of distinct segments; ``target`` has a row of class shares for each, ``weights`` are how much each counts. ``epochs`` are the least number of them."""
         bucket, sizes = grams(parts)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         ge, gw, gb = np.full(BUCKETS, 1e-4, np.float32), np.full_like(self.w, 1e-4), np.full_like(self.b, 1e-4)
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-STEPS // max(1, -(-len(parts) // batch))))
         for epoch in range(epochs):
             order = rng.permutation(len(parts))
             step = rate * (1 - epoch / epochs) + 0.01
