@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from planweave.config import DEFAULT
 from planweave.functions.vectors import as_double, dot, norm, normalized
-from planweave.operators.skew import lookup
-from planweave.session import cut, cut_measured
+from planweave.operators.skew import hot_threshold, lookup
+from planweave.session import cut, cut_measured, measured
 
 #: Rows of a block that meet in one task; a larger block is cut into tiles and pairs of tiles.
 TILE = 2048
@@ -65,26 +66,36 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     (Kiveris et al., Connected Components in MapReduce and Beyond.) Every round is written to the checkpoint folder,
     and a vertex with a large share of all links is looked up apart.
     """
-    now = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-
     marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
-    before = now.agg(*marks).first().asDict()
+    now, before = cut_measured(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), *marks)
+    ends = now.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    most = {True: ends.agg(F.max("n")).first()[0] or 0, False: 0}
+    kept: list[DataFrame] = []
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, counted: Observation) -> DataFrame:
+        """One half of a round. The largest vertex of the round before tells whether there are hot ones; if so they are counted anew and looked up apart."""
         seen = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-        least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n").persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(least)
-        total, most = least.agg(F.sum("n"), F.max("n")).first()
-        joined = lookup(seen, least, "u", "n", total or 0, most or 0)
+        least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        if (most[large] or 0) > hot_threshold(2 * (before["n"] or 0)):
+            least = least.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(least)
+            total, most[large] = least.agg(F.sum("n"), F.max("n")).first()
+            joined = lookup(seen, least, "u", "n", total or 0, most[large] or 0)
+        else:
+            joined = seen.join(least.observe(counted, F.max("n").alias("most")).drop("n"), "u")
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     for _ in range(max_rounds):
-        kept: list[DataFrame] = []
-        now, after = cut_measured(star(star(now, True), False), *marks)
-        for df in kept:
-            df.unpersist()
+        counted = {large: Observation() for large in (True, False)}
+        now, after = cut_measured(star(star(now, True, counted[True]), False, counted[False]), *marks)
+        if kept:
+            while kept:
+                kept.pop().unpersist()
+        elif before["n"]:
+            # without word from the job the next round counts for itself
+            most = {large: (measured(counted[large]) or {"most": sys.maxsize})["most"] or 0 for large in (True, False)}
         if after == before:
             leaves = now.select(F.col("u").alias("key"), F.col("v").alias("component"))
             roots = now.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct()

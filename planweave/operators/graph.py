@@ -310,12 +310,17 @@ def lookup_relations(edges: DataFrame, name: str, direction: str = "both", kind:
     return edges.where(where).select(F.col("src_name").alias("subject"), F.replace("type", F.lit("_"), F.lit(" ")).alias("predicate"), F.col("dst_name").alias("object")).distinct()
 
 
-def graph_of(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of extracted entities and relations: canonical labels, upserts by id, ends resolved by name and source."""
+def nodes_of(entities: DataFrame) -> DataFrame:
+    """Nodes of extracted entities: canonical labels, upserts by id; rows without a name or a source are none."""
     rows = entities.where("name is not null and source_name is not null").select(
         canonical_type(F.col("entity_type"), F.col("name")).alias("label"), "name", "source_name", "description", "aliases", "document_id", "chunk_index", F.col("entity_id").alias("seq")
     )
-    nodes = upsert_nodes(None, rows.where(F.col("label") != ""))
+    return upsert_nodes(None, rows.where(F.col("label") != ""))
+
+
+def graph_of(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of extracted entities and relations, the ends resolved by name and source."""
+    nodes = nodes_of(entities)
     found = resolve_edges(relations.where("subject is not null and predicate is not null and object is not null"), nodes)
     edge_rows = found.select(*EDGE_KEY, "source_name", "document_id", "chunk_index", "confidence", F.col("relation_id").alias("seq"))
     return nodes, upsert_edges(None, edge_rows)

@@ -572,7 +572,7 @@ def bridge_filter(spark, d):
 
 @query(f"WITH {_GRAPH} SELECT label, name, source_name, description, array_to_string(aliases, '|') AS aliases, document_id, chunk_index FROM nodes")
 def node_upsert(spark, d):
-    return _graph(spark, d)[0].withColumn("aliases", F.array_join("aliases", "|"))
+    return graph.nodes_of(table(spark, d, "entities")).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query(f"WITH {_GRAPH} SELECT * FROM edges")
@@ -625,7 +625,7 @@ def graph_totals(spark, d):
     f"""WITH {_GRAPH} SELECT source_name, label, count(*) AS n, CAST(grouping(source_name) * 2 + grouping(label) AS INTEGER) AS level FROM nodes GROUP BY GROUPING SETS ((source_name), (label), (source_name, label))"""
 )
 def nodes_by_source(spark, d):
-    return graph.nodes_by_source(_graph(spark, d)[0])
+    return graph.nodes_by_source(graph.nodes_of(table(spark, d, "entities")))
 
 
 @query(f"WITH {_GRAPH} SELECT source_name, count(*) AS n FROM edges WHERE source_name IS NOT NULL GROUP BY ALL")
@@ -651,7 +651,7 @@ def bridge_breakdown(spark, d):
 count(CASE WHEN n.name IS NOT NULL AND trim(coalesce(document_id, '')) = '' THEN 1 END) AS no_document, count(CASE WHEN n.name IS NOT NULL AND chunk_index IS NULL THEN 1 END) AS no_chunk FROM l LEFT JOIN nodes n ON n.label = l.label GROUP BY ALL"""
 )
 def property_completeness(spark, d):
-    return graph.completeness(_graph(spark, d)[0])
+    return graph.completeness(graph.nodes_of(table(spark, d, "entities")))
 
 
 _ENDS = """ends AS (SELECT type, src_label AS label, src_name AS name, src_source AS source_name, dst_label AS far_label FROM edges UNION ALL SELECT type, dst_label, dst_name, dst_source, src_label FROM edges WHERE NOT (src_label = dst_label AND src_name = dst_name AND src_source = dst_source))"""

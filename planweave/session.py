@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 from uuid import uuid4
@@ -100,9 +101,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured(seen: Observation, seconds: float = 60.0) -> dict | None:
+    """What was observed in a job that has ended; null if no word of it comes, as when a busy cluster drops events."""
+    got: list[dict] = []
+    waiting = threading.Thread(target=lambda: got.append(seen.get), daemon=True)
+    waiting.start()
+    waiting.join(seconds)
+    return got[0] if got else None
+
+
 def cut_measured(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
     """As ``cut``, with aggregates over the rows that are taken while they are written, without a job of their own."""
     ensure_checkpoint_dir(df.sparkSession)
     seen = Observation()
     written = df.observe(seen, *measures).checkpoint(eager=True)
-    return written, seen.get
+    got = measured(seen)
+    return written, written.agg(*measures).first().asDict() if got is None else got
