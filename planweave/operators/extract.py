@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.config import DEFAULT
@@ -77,11 +77,23 @@ def entity_spans(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return merged.select(key, "s.name", "s.entity_type", "s.start_pos", "s.end_pos", "s.confidence", window(t, F.col("s.start_pos"), F.col("s.end_pos")).alias("source_text"), "ord")
 
 
-def combine_channels(spans: DataFrame, key: str) -> DataFrame:
-    """Spans of several channels merged per ``key``; ``chan`` orders the channels, the model's before the patterns'."""
-    packed = spans.groupBy(key).agg(F.collect_list(F.struct("start_pos", "end_pos", (F.col("chan") * 50_000_000 + F.col("ord")).cast("int").alias("ord"), "confidence", "name", "entity_type")).alias("spans"))
-    merged = packed.select(key, F.posexplode(merge_overlaps(F.col("spans").cast(f"array<{SPAN}>"))).alias("place", "s"))
-    return merged.select(key, "place", "s.name", "s.entity_type", "s.start_pos", "s.end_pos", "s.confidence")
+def combine_channels(spans: DataFrame, key: str, run: int = 1_000) -> DataFrame:
+    """Spans of several channels merged per ``key``; ``chan`` orders the channels, the model's before the patterns'.
+
+    A span that begins where all before it have ended cannot overlap a kept one, so the merge starts afresh there: a key is
+    merged in runs of about ``run`` spans that begin at such places, and only a chain of overlaps makes a run longer.
+    Spans are numbered in order, so ``chan`` and ``ord`` may be of any size; nulls among them come last.
+    """
+    order = ["start_pos", "end_pos", F.col("chan").asc_nulls_last(), F.col("ord").asc_nulls_last(), "confidence", "name", "entity_type"]
+    inside = Window.partitionBy(key).orderBy(*order)
+    ended = F.max("end_pos").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumns({"n_": F.row_number().over(inside), "afresh_": F.coalesce(F.col("start_pos") >= ended, F.lit(True))})
+    since = F.max(F.when(F.col("afresh_"), F.col("n_"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    span = F.struct("start_pos", "end_pos", F.col("n_").alias("ord"), "confidence", "name", "entity_type")
+    packed = numbered.withColumn("run_", F.floor(since / run)).groupBy(key, "run_").agg(F.collect_list(span).alias("spans"))
+    kept = packed.select(key, F.explode(merge_overlaps(F.col("spans").cast(f"array<{SPAN}>"))).alias("s")).select(key, "s.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("confidence").desc_nulls_first(), "ord")) - 1
+    return kept.select(key, place.alias("place"), "name", "entity_type", "start_pos", "end_pos", "confidence")
 
 
 def dedupe_entities(entities: DataFrame, document: str = "document_id") -> DataFrame:

@@ -87,6 +87,34 @@ def test_channels_model_first(spark):
     assert [(r.name, r.entity_type) for r in extract.combine_channels(df, "k").orderBy("place").collect()] == [("甲乙丙丁", "事件"), ("庚", "地点")]
 
 
+def test_channels_with_large_ids(spark):
+    """Ids beyond an int, and odd ids below even ones beyond 50,000,000: the channel decides before the id."""
+    big = 7_000_000_000
+    rows = [("d", 0, 4, 1, "odd", 1), ("d", 0, 4, big, "even", 0), ("d", 8, 9, big + 1, "odd", 1), ("d", 8, 9, 60_000_000, "even", 0), ("e", -1, -1, big, "even", 0), ("e", -1, -1, 3, "odd", 1)]
+    df = spark.createDataFrame([(k, s, e, i, 0.6, n, "事件", c) for k, s, e, i, n, c in rows], "k string, start_pos int, end_pos int, ord long, confidence double, name string, entity_type string, chan long")
+    got = [tuple(r) for r in extract.combine_channels(df, "k").select("k", "place", "start_pos", "name").orderBy("k", "place").collect()]
+    assert got == [("d", 0, 0, "even"), ("d", 1, 8, "even"), ("e", 0, -1, "even"), ("e", 1, -1, "odd")]
+
+
+def test_channels_in_short_runs(spark):
+    """Runs of any length give the merge of the whole document, chains of overlaps and unknown places included."""
+    rnd = random.Random(5)
+    spans = {}
+    for k in ("a", "b", None):
+        for i in range(400):
+            s = rnd.randint(-1, 900)
+            spans.setdefault(k, []).append((s, -1 if s < 0 else s + rnd.randint(1, 9), i, rnd.choice([0.5, 0.6, 0.8]), f"n{i}", "事件"))
+    rows = [(k, *s, s[2] % 2) for k, own in spans.items() for s in own]
+    df = spark.createDataFrame(rows, "k string, start_pos int, end_pos int, ord int, confidence double, name string, entity_type string, chan int")
+    for run in (1, 7, 1_000):
+        got = {}
+        for r in extract.combine_channels(df, "k", run).orderBy("place").collect():
+            got.setdefault(r.k, []).append((r.place, r.name))
+        for k, own in spans.items():
+            want = merge_model([(s, e, i % 2 * 1_000 + i, *rest) for s, e, i, *rest in own])
+            assert got[k] == [(place, s[4]) for place, s in enumerate(want)]
+
+
 def chunk_model(t, size, overlap):
     if not t:
         return []
